@@ -264,7 +264,7 @@ def completeness_variance(df: DataFrame, **kw) -> DataFrame:
 # -- scores -------------------------------------------------------------------------
 
 
-def _score_parts() -> list[Column]:
+def score_parts() -> list[Column]:
     """The four parts of the composite score, each 0 to 100, over a profile row."""
     total, n = F.col("total_rows").cast("double"), F.col("total_columns").cast("double")
     gone = _missing_cells()
@@ -295,7 +295,7 @@ def _score_parts() -> list[Column]:
     ]
 
 
-def _weighted(weights: Mapping[str, float]) -> Column:
+def weighted_score(weights: Mapping[str, float]) -> Column:
     names = list(WEIGHTS)
     unknown = set(weights) - set(names)
     if unknown:
@@ -318,8 +318,8 @@ def quality_score(
     """Composite score 0-100 with its parts and category."""
     row = profile_row(df, cols, sentinels=sentinels, expected=expected)
     return (
-        row.select(*_score_parts())
-        .withColumn("quality_score", _weighted(weights or WEIGHTS))
+        row.select(*score_parts())
+        .withColumn("quality_score", weighted_score(weights or WEIGHTS))
         .withColumn("category", bands.score_category(F.col("quality_score")))
         .withColumn("assessment", bands.score_assessment(F.col("quality_score")))
     )

@@ -71,7 +71,7 @@ def infer_types(
             F.struct(
                 F.count(f"t{i}").alias("n"),
                 *[F.count_if(F.col(f"t{i}.{k}")).alias(k) for k in kinds],
-                F.approx_count_distinct(f"t{i}.v", 0.01).alias("values"),
+                F.approx_count_distinct(f"t{i}.v").alias("values"),
             ).alias(f"s{i}")
             for i in range(len(names))
         ]
@@ -105,7 +105,7 @@ def describe_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
             F.count(v).alias(f"n{i}"),
             F.min(v).cast("string").alias(f"lo{i}"),
             F.max(v).cast("string").alias(f"hi{i}"),
-            F.approx_count_distinct(v, 0.01).alias(f"d{i}"),
+            F.approx_count_distinct(v).alias(f"d{i}"),
         ]
         if numeric:
             x = v.cast("double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from truegrain.functions import bands
 from truegrain.functions.missing import ref
-from truegrain.operators.profile import SPARSE_RATIO, WEIGHTS, _score_parts, _weighted, profile_row
+from truegrain.operators.profile import SPARSE_RATIO, WEIGHTS, score_parts, weighted_score, profile_row
 
 
 def completeness_report(
@@ -21,11 +21,11 @@ def completeness_report(
 ) -> DataFrame:
     """All completeness figures of a table in one row, from one scan."""
     names = list(cols or df.columns)
-    row = profile_row(df, names, critical_cols, sentinels).select("*", *_score_parts())
+    row = profile_row(df, names, critical_cols, sentinels).select("*", *score_parts())
     labels = F.array(*[F.lit(c) for c in names])
     rows = F.col("total_rows").cast("double")
     per = F.arrays_zip(labels.alias("name"), "missing")
-    scored = row.withColumn("overall_quality_score", _weighted(WEIGHTS))
+    scored = row.withColumn("overall_quality_score", weighted_score(WEIGHTS))
     sparse = F.transform(
         F.filter(per, lambda x: F.try_divide(x["missing"].cast("double"), rows) > threshold),
         lambda x: x["name"],
@@ -52,3 +52,63 @@ def completeness_report(
             F.array_sort(sparse), lambda c: F.concat(F.lit("Column "), c, F.lit(" needs attention"))
         ).alias("recommendations"),
     )
+
+
+def duplicate_report(
+    df: DataFrame, index: str, cols: Sequence[str] | None = None, k: int = 10
+) -> DataFrame:
+    """All exact-duplicate figures of a table in one row, keeping the first of each group.
+
+    Group sizes are counted once; the summary and the size distribution come from that count.
+    """
+    from truegrain.operators.duplicates import group_sizes, metrics_of, top_duplicates
+
+    names = list(cols) if cols else [c for c in df.columns if c != index]
+    keyed = df.select(ref(index), *[ref(c) for c in names if c != index])
+    by_size = group_sizes(keyed, names).groupBy("n").agg(F.count(F.lit(1)).alias("groups"))
+    repeated = F.when(F.col("n") > 1, F.struct("n", "groups"))
+    counts = by_size.agg(
+        F.coalesce(F.sum(F.col("n") * F.col("groups")), F.lit(0)).alias("rows_before"),
+        F.coalesce(F.sum("groups"), F.lit(0)).alias("rows_after"),
+        F.coalesce(F.sum("groups"), F.lit(0)).alias("unique_rows"),
+        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("groups"))), F.lit(0)).alias("duplicate_groups"),
+        F.map_from_entries(F.array_sort(F.collect_list(repeated))).alias("duplicate_patterns"),
+    )
+    ordered = top_duplicates(keyed, index, names, k).agg(
+        F.array_sort(
+            F.collect_list(F.struct((-F.col("occurrences")).alias("o"), "row_hash", "sample_rows"))
+        ).alias("r")
+    )
+    records = ordered.select(
+        F.transform(
+            "r",
+            lambda x: F.struct(
+                x["row_hash"].alias("row_hash"), (-x["o"]).alias("occurrences"), x["sample_rows"].alias("sample_rows")
+            ),
+        )
+    ).scalar()
+    return metrics_of(counts, "duplicate_groups", "duplicate_patterns").select(
+        F.col("rows_before").alias("total_rows_original"),
+        F.col("rows_after").alias("total_rows_processed"),
+        F.lit(len(names)).cast("bigint").alias("total_columns"),
+        "duplicate_rows_removed",
+        "duplicate_percentage",
+        "duplicate_groups",
+        "duplicate_patterns",
+        records.alias("most_duplicated_records"),
+        "data_reduction_percentage",
+        "quality_improvement_score",
+        "uniqueness_score",
+        "distinct_ratio",
+        F.filter(
+            F.array(
+                F.when(
+                    F.col("duplicate_rows_removed") > 0,
+                    F.lit("Validate records at the source so that copies are refused"),
+                ),
+                F.when(F.col("duplicate_percentage") > 5, F.lit("Run duplicate detection with every load")),
+                F.when(F.col("duplicate_groups") > 0, F.lit("Declare a unique key for the repeated records")),
+            ),
+            lambda x: x.isNotNull(),
+        ).alias("recommendations"),
+    )
