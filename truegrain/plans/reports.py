@@ -112,3 +112,64 @@ def duplicate_report(
             lambda x: x.isNotNull(),
         ).alias("recommendations"),
     )
+
+
+def quality_report(
+    df: DataFrame,
+    index: str,
+    cols: Sequence[str] | None = None,
+    critical_cols: Sequence[str] | None = None,
+    sentinels: Iterable[str] = (),
+) -> DataFrame:
+    """Completeness part, duplicate part and overall score of a table, as one row of structs.
+
+    The overall score is the mean of the completeness score and of the share of distinct rows.
+    """
+    names = list(cols) if cols else [c for c in df.columns if c != index]
+    dups = duplicate_report(df, index, names).select(F.struct("*").alias("d")).scalar()
+    whole = completeness_report(df, names, critical_cols, sentinels=sentinels).select(
+        F.struct("*").alias("completeness"), dups.alias("duplicates")
+    )
+    score = (F.col("completeness.overall_quality_score") + F.col("duplicates.distinct_ratio")) / F.lit(2.0)
+    return whole.withColumn("overall_score", score).select(
+        "overall_score",
+        bands.score_assessment(F.col("overall_score")).alias("assessment"),
+        "completeness",
+        "duplicates",
+        F.concat_ws(
+            "; ",
+            F.format_string("%d rows", F.col("completeness.total_rows")),
+            F.format_string("%d incomplete", F.col("completeness.incomplete_rows")),
+            F.format_string("%d duplicate", F.col("duplicates.duplicate_rows_removed")),
+        ).alias("summary"),
+        F.concat("completeness.recommendations", "duplicates.recommendations").alias("recommendations"),
+    )
+
+
+def run_chain(
+    df: DataFrame,
+    order: str,
+    use_cases: Sequence[str] = ("UC1", "UC4"),
+    cols: Sequence[str] | None = None,
+    critical_cols: Sequence[str] | None = None,
+    keep: str = "first",
+    sentinels: Iterable[str] = (),
+) -> DataFrame:
+    """Flag incomplete rows (UC1), remove duplicates (UC4), or both, in one lazy plan.
+
+    Duplicates are judged on the original columns, so the flags never take part.
+    """
+    from truegrain.operators.duplicates import dedup
+    from truegrain.operators.rows import flag_rows
+
+    unknown = set(use_cases) - {"UC1", "UC4"}
+    if unknown:
+        raise ValueError(f"unknown use cases {sorted(unknown)}; choose from UC1, UC4")
+    names = list(cols) if cols else [c for c in df.columns if c != order]
+    out = df
+    for step in use_cases:
+        if step == "UC1":
+            out = flag_rows(out, critical_cols, names, sentinels)
+        else:
+            out = dedup(out, names, keep, order)
+    return out
