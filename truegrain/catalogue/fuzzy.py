@@ -314,8 +314,8 @@ TEXTS = f"""WITH {SHINGLES}, st AS (SELECT min(id) AS id, list_sort(s) AS s FROM
 
 
 def text_pairs(spark, d, threshold=0.5):
-    sets = pr.shingle_sets(fx.table(spark, d, "documents"), "doc_id", "text")
-    return pr.jaccard_pairs(sets, threshold)
+    sets = pr.text_sets(fx.table(spark, d, "documents"), "doc_id", "text")
+    return pr.jaccard_pairs(pr.distinct_sets(sets), threshold)
 
 
 @query("d36_similar_texts", f"{TEXTS} SELECT * FROM jp")
@@ -365,9 +365,9 @@ COPIES = """SELECT h.id_a, sh.id AS id_b FROM sh JOIN (SELECT list_sort(s) AS s,
 
 def text_edges(spark, d):
     """Similar texts, and one edge for every text that is a copy of another up to case and punctuation."""
-    docs = fx.table(spark, d, "documents")
-    near = text_pairs(spark, d).withColumnRenamed("similarity", "score")
-    return near.unionByName(pr.set_copy_edges(docs, "doc_id", "text"))
+    sets = pr.text_sets(fx.table(spark, d, "documents"), "doc_id", "text")
+    near = pr.jaccard_pairs(pr.distinct_sets(sets), 0.5).withColumnRenamed("similarity", "score")
+    return near.unionByName(pr.set_copy_edges(sets))
 
 
 @query(

@@ -27,3 +27,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}/{name}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Written once as Parquet in the shared folder and read back: for results used several times.
+
+    Unlike a cache it survives lost executors, and later steps read only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

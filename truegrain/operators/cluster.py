@@ -56,6 +56,7 @@ def components(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
 
 def clusters(pairs: DataFrame, a: str = "id_a", b: str = "id_b", score: str = "score") -> DataFrame:
     """One row per group: cluster id (also the record to keep), members, pairs, lowest score."""
+    pairs = checkpointed(pairs)
     c = components(pairs, a, b)
     size = c.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"))
     strength = (

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from truegrain.functions import bands, text
 from truegrain.functions.hashing import row_digest
 from truegrain.functions.missing import ref
+from truegrain.functions.session import materialised
 
 EPS = 1e-9
 
@@ -161,44 +162,52 @@ def block_pairs(df: DataFrame, id: str, value: str, threshold: float, blocks: Se
 # -- long texts ---------------------------------------------------------------------
 
 
-def _keyed_sets(df: DataFrame, id: str, value: str, n: int) -> DataFrame:
+def text_sets(df: DataFrame, id: str, value: str, n: int = 3) -> DataFrame:
+    """(id, tokens, set_key) per text: sorted 64-bit shingle hashes and their digest.
+
+    Written to shared storage once, since every later step starts from it.
+    """
     sets = df.filter(ref(value).isNotNull()).select(
         ref(id).alias("id"),
         F.array_sort(F.transform(text.shingles(ref(value), n), lambda s: F.xxhash64(s))).alias("tokens"),
     )
-    return sets.withColumn("_h", F.unhex(F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256)))
-
+    key = F.unhex(F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256))
+    return materialised(sets.withColumn("set_key", key))
 
-def shingle_sets(df: DataFrame, id: str, value: str, n: int = 3) -> DataFrame:
-    """One row per distinct shingle set: smallest id, sorted 64-bit shingle hashes, copies.
 
-    Texts with the same set are tied to that id by `set_copy_edges`.
-    """
-    keyed = _keyed_sets(df, id, value, n)
-    heads = keyed.groupBy("_h").agg(F.min("id").alias("_head"), F.count(F.lit(1)).alias("copies"))
-    return keyed.join(heads, "_h").filter("id = _head").select("id", "tokens", "copies")
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """One row per distinct set: smallest id, tokens, copies. `set_copy_edges` ties the other ids to it."""
+    heads = sets.groupBy("set_key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    return sets.select("id", "tokens").join(heads.select("id", "copies"), "id")
 
 
-def set_copy_edges(df: DataFrame, id: str, value: str, n: int = 3) -> DataFrame:
-    """One pair (smallest id, other id) for every text that has the shingle set of another."""
-    keyed = _keyed_sets(df, id, value, n).select("id", "_h")
-    heads = keyed.groupBy("_h").agg(F.min("id").alias("id_a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return keyed.join(heads, "_h").filter("id <> id_a").select("id_a", F.col("id").alias("id_b"), F.lit(1.0).alias("score"))
+def set_copy_edges(sets: DataFrame) -> DataFrame:
+    """One pair (smallest id, other id) for every text that has the set of another."""
+    keyed = sets.select(F.col("id").alias("id_b"), "set_key")
+    heads = keyed.groupBy("set_key").agg(F.min("id_b").alias("id_a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return keyed.join(heads, "set_key").filter("id_a <> id_b").select("id_a", "id_b", F.lit(1.0).alias("score"))
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of sets (`id`, `tokens`) whose Jaccard similarity reaches the threshold."""
+    """All pairs of sets (`id`, `tokens`) whose Jaccard similarity reaches the threshold.
+
+    Tokens are ranked from rare to frequent inside each set; two sets that are similar enough
+    share one of their first n - ceil(t*n) + 1. Tokens that occur once come first in that order
+    and can match nothing, so they are only counted, never shuffled.
+    """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("the threshold lies above 0 and at most at 1")
     entries = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     often = entries.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-    # Rarest first; an entry nobody shares (no row in `often`) counts as rarest but joins nothing.
-    ranked = entries.join(often, "token", "left").withColumn(
-        "r",
-        F.row_number().over(Window.partitionBy("id").orderBy(F.asc_nulls_first("f"), "token")),
+    own = Window.partitionBy("id")
+    ranked = entries.join(often, "token").withColumns(
+        {
+            "r": F.row_number().over(own.orderBy("f", "token")),
+            "shared": F.count(F.lit(1)).over(own),
+        }
     )
     need = F.ceil(F.col("n") * F.lit(threshold) - F.lit(EPS))
-    prefix = ranked.filter((F.col("r") <= F.col("n") - need + 1) & F.col("f").isNotNull()).select("id", "n", "token")
+    prefix = ranked.filter(F.col("n") - F.col("shared") + F.col("r") <= F.col("n") - need + 1).select("id", "n", "token")
     a = prefix.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "token")
     b = prefix.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "token")
     shorter, longer = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
