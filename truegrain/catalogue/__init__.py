@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-MODULES = ["completeness", "duplicates", "fuzzy", "compare"]
+MODULES = ["completeness", "duplicates", "fuzzy", "compare", "service"]
 
 
 def load() -> ModuleType:
