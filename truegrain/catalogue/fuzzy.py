@@ -9,7 +9,8 @@ from truegrain.catalogue import fixtures as fx
 from truegrain.catalogue.completeness import KIND, gone
 from truegrain.catalogue.registry import query
 from truegrain.functions import text
-from truegrain.functions.missing import missing_tests
+from truegrain.functions.missing import missing_count, missing_tests
+from truegrain.functions.session import spread
 from truegrain.operators import cluster as cl
 from truegrain.operators import pairs as pr
 
@@ -224,8 +225,6 @@ def d32(spark, d):
     tests = missing_tests(a, list(SUB))
     c = fx.table(spark, d, "customer")
     joined = a.join(c, F.col("c_custkey") == F.col("rid") + F.when(F.col("rid") % 9 == 0, 1).otherwise(0))
-    from truegrain.functions.missing import missing_count
-
     return joined.select(
         "rid",
         text.subsumes([(F.col(x), tests[x]) for x in SUB], [F.col(y) for y in SUB.values()]).alias("is_partial_copy"),
@@ -290,8 +289,12 @@ LSH = f"""WITH {SHINGLES}, x AS (SELECT id, ('0x' || substr(md5(unnest(s)), 1, 8
     cand AS (SELECT DISTINCT id_a, bk.id AS id_b FROM bk JOIN hd ON bk.band = hd.band AND bk.bucket = hd.bucket WHERE bk.id <> id_a)"""
 
 
+def texts(spark, d):
+    return spread(fx.table(spark, d, "documents").select("doc_id", "text"))
+
+
 def lsh(spark, d):
-    docs = fx.table(spark, d, "documents")
+    docs = texts(spark, d)
     return pr.lsh_pairs(pr.lsh_buckets(docs, "doc_id", "text", BANDS, ROWS))
 
 
@@ -314,7 +317,7 @@ TEXTS = f"""WITH {SHINGLES}, st AS (SELECT min(id) AS id, list_sort(s) AS s FROM
 
 
 def text_pairs(spark, d, threshold=0.5):
-    sets = pr.text_sets(fx.table(spark, d, "documents"), "doc_id", "text")
+    sets = pr.text_sets(texts(spark, d), "doc_id", "text")
     return pr.jaccard_pairs(pr.distinct_sets(sets), threshold)
 
 
@@ -365,7 +368,7 @@ COPIES = """SELECT h.id_a, sh.id AS id_b FROM sh JOIN (SELECT list_sort(s) AS s,
 
 def text_edges(spark, d):
     """Similar texts, and one edge for every text that is a copy of another up to case and punctuation."""
-    sets = pr.text_sets(fx.table(spark, d, "documents"), "doc_id", "text")
+    sets = pr.text_sets(texts(spark, d), "doc_id", "text")
     near = pr.jaccard_pairs(pr.distinct_sets(sets), 0.5).withColumnRenamed("similarity", "score")
     return near.unionByName(pr.set_copy_edges(sets))
 

@@ -37,3 +37,12 @@ def materialised(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A freshly read table over all cores, for costly work per row on a few row groups.
+
+    A large table comes in many partitions and is left where it is: no shuffle then.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(2 * cores) if table.rdd.getNumPartitions() <= 2 * cores else table

@@ -33,20 +33,29 @@ def words(c: Column) -> Column:
 
 def token_sort_key(c: Column) -> Column:
     """The distinct words in alphabetical order: equal for texts that differ in word order only."""
-    return F.array_join(F.array_sort(F.array_distinct(words(c))), " ")
+    return F.array_join(F.sort_array(F.array_distinct(words(c))), " ")
 
 
-def shingles(c: Column, n: int = 3) -> Column:
-    """Distinct runs of n words; a shorter text is one shingle of its own."""
+def shingle_runs(c: Column, n: int = 3) -> Column:
+    """All runs of n words in order, repeats included; a shorter text is one run of its own."""
 
     def of(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
-        return F.when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs))
-
-    # The one-entry array binds the words to a name: split once, not once per shingle.
+        # The words zipped with themselves shifted by 1, 2, ...: linear, and no slice per run.
+        runs = w
+        for k in range(1, n):
+            rest = F.slice(w, F.lit(k + 1), F.size(w))
+            runs = F.zip_with(runs, rest, lambda x, y: F.concat(x, F.lit(" "), y))
+        return F.when(F.size(w) < n, F.array(F.array_join(w, " "))).otherwise(F.slice(runs, F.lit(1), F.size(w) - (n - 1)))
+
+    # The one-entry array binds the words to a name: split once, not once per use.
     return F.element_at(F.transform(F.array(words(c)), of), 1)
 
 
+def shingles(c: Column, n: int = 3) -> Column:
+    """Distinct runs of n words."""
+    return F.array_distinct(shingle_runs(c, n))
+
+
 def lev_sim(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length; two empty texts are equal."""
     longest = F.greatest(F.char_length(a), F.char_length(b))

@@ -167,10 +167,9 @@ def text_sets(df: DataFrame, id: str, value: str, n: int = 3) -> DataFrame:
 
     Written to shared storage once, since every later step starts from it.
     """
-    sets = df.filter(ref(value).isNotNull()).select(
-        ref(id).alias("id"),
-        F.array_sort(F.transform(text.shingles(ref(value), n), lambda s: F.xxhash64(s))).alias("tokens"),
-    )
+    texts = df.filter(ref(value).isNotNull()).select(ref(id).alias("id"), ref(value).alias("t"))
+    hashed = F.transform(text.shingle_runs(F.col("t"), n), lambda s: F.xxhash64(s))
+    sets = texts.select("id", F.sort_array(F.array_distinct(hashed)).alias("tokens"))
     key = F.unhex(F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256))
     return materialised(sets.withColumn("set_key", key))
 
@@ -208,6 +207,7 @@ def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     )
     need = F.ceil(F.col("n") * F.lit(threshold) - F.lit(EPS))
     prefix = ranked.filter(F.col("n") - F.col("shared") + F.col("r") <= F.col("n") - need + 1).select("id", "n", "token")
+    prefix = materialised(prefix)  # both sides of the join below
     a = prefix.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "token")
     b = prefix.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "token")
     shorter, longer = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
@@ -248,9 +248,8 @@ def lsh_buckets(df: DataFrame, id: str, value: str, bands_: int = 8, rows: int =
     length becomes bands_*rows numbers before the shuffle.
     """
     first = F.conv(F.substring(F.md5("shingle"), 1, 8), 16, 10).cast("bigint") % F.lit(PRIME)
-    hashed = df.filter(ref(value).isNotNull()).select(
-        ref(id).alias("id"), F.explode(text.shingles(ref(value), n)).alias("shingle")
-    ).select("id", first.alias("h"))
+    texts = df.filter(ref(value).isNotNull()).select(ref(id).alias("id"), ref(value).alias("t"))
+    hashed = texts.select("id", F.explode(text.shingle_runs(F.col("t"), n)).alias("shingle")).select("id", first.alias("h"))
     mins = []
     for i in range(bands_ * rows):
         a, b = permutation(i)
@@ -267,7 +266,12 @@ def lsh_buckets(df: DataFrame, id: str, value: str, bands_: int = 8, rows: int =
 
 
 def lsh_pairs(buckets: DataFrame) -> DataFrame:
-    """Candidate pairs (first id of a bucket, other id): linear in the rows, however full a bucket is."""
+    """Candidate pairs (first id of a bucket, other id): linear in the rows, however full a bucket is.
+
+    The buckets, a few short rows per text, are written once: they are read for the first ids and
+    again for the others.
+    """
+    buckets = materialised(buckets)
     heads = (
         buckets.groupBy("band", "bucket")
         .agg(F.min("id").alias("id_a"), F.count(F.lit(1)).alias("_n"))
