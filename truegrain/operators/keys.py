@@ -112,16 +112,16 @@ def key_violation_summary(df: DataFrame, key: Sequence[str], sentinels: Iterable
     groups = (
         df.select(gone.alias("_gone"), *canonical_columns(df, key))
         .groupBy("_gone", *[ref(c) for c in key])
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    bad = ~F.col("_gone") & (F.col("n") > 1)
+    bad = ~F.col("_gone") & (F.col("_n") > 1)
     zero = F.lit(0).cast("bigint")
     return groups.agg(
-        F.coalesce(F.sum("n"), zero).alias("total_rows"),
-        F.coalesce(F.sum(F.when(F.col("_gone"), F.col("n"))), zero).alias("missing_key_rows"),
+        F.coalesce(F.sum("_n"), zero).alias("total_rows"),
+        F.coalesce(F.sum(F.when(F.col("_gone"), F.col("_n"))), zero).alias("missing_key_rows"),
         F.count_if(bad).alias("violating_keys"),
-        F.coalesce(F.sum(F.when(bad, F.col("n"))), zero).alias("affected_rows"),
-        F.coalesce(F.sum(F.when(bad, F.col("n") - 1)), zero).alias("surplus_rows"),
+        F.coalesce(F.sum(F.when(bad, F.col("_n"))), zero).alias("affected_rows"),
+        F.coalesce(F.sum(F.when(bad, F.col("_n") - 1)), zero).alias("surplus_rows"),
     ).select(F.lit(",".join(key)).alias("key_columns"), "*")
 
 
