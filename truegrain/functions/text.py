@@ -56,18 +56,24 @@ def shingles(c: Column, n: int = 3) -> Column:
     return F.array_distinct(shingle_runs(c, n))
 
 
+def _both(a: Column, b: Column, value: Column) -> Column:
+    """The value where both sides are present, else null: a field not given says nothing."""
+    return F.when(a.isNotNull() & b.isNotNull(), value)
+
+
 def lev_sim(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length; two empty texts are equal."""
     longest = F.greatest(F.char_length(a), F.char_length(b))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(
+    sim = F.when(longest == 0, F.lit(1.0)).otherwise(
         F.lit(1.0) - F.levenshtein(a, b).cast("double") / longest.cast("double")
     )
+    return _both(a, b, sim)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared share of two sets given as arrays of distinct entries."""
     both = F.size(F.array_intersect(a, b)).cast("double")
-    return F.try_divide(both, (F.size(a) + F.size(b)).cast("double") - both)
+    return _both(a, b, F.try_divide(both, (F.size(a) + F.size(b)).cast("double") - both))
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
@@ -76,12 +82,12 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 def num_sim(a: Column, b: Column, tolerance: float) -> Column:
     gap = F.abs(a.cast("double") - b.cast("double"))
-    return F.greatest(F.lit(0.0), F.lit(1.0) - gap / F.lit(float(tolerance)))
+    return _both(a, b, F.greatest(F.lit(0.0), F.lit(1.0) - gap / F.lit(float(tolerance))))
 
 
 def date_sim(a: Column, b: Column, days: float) -> Column:
     gap = F.abs(F.datediff(a, b)).cast("double")
-    return F.greatest(F.lit(0.0), F.lit(1.0) - gap / F.lit(float(days)))
+    return _both(a, b, F.greatest(F.lit(0.0), F.lit(1.0) - gap / F.lit(float(days))))
 
 
 def cat_sim(a: Column, b: Column, synonyms: Mapping[str, str] | None = None) -> Column:

@@ -53,7 +53,10 @@ def flag_stream(stream: DataFrame, critical_cols: Sequence[str] | None = None, c
 
 
 def distinct_stream(stream: DataFrame, keys: Sequence[str], ts: str, delay: str = "1 hour") -> DataFrame:
-    """First row per key; a key is remembered for `delay` of event time, which bounds the state."""
+    """First row per key; a key is remembered for at least `delay` of event time, which bounds the state.
+
+    Rows that arrive later than the watermark are dropped; the stream's progress counts them.
+    """
     timed = stream.withColumn("_event_time", ref(ts).cast("timestamp"))
     return timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(list(keys)).drop("_event_time")
 
