@@ -46,3 +46,8 @@ def spread(table: DataFrame) -> DataFrame:
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table.repartition(2 * cores) if table.rdd.getNumPartitions() <= 2 * cores else table
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    """Partitions for work that grows before the next shuffle: as configured, at least two per core."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from truegrain.functions import bands, text
 from truegrain.functions.hashing import row_digest
 from truegrain.functions.missing import ref
-from truegrain.functions.session import materialised
+from truegrain.functions.session import materialised, shuffle_width
 
 EPS = 1e-9
 
@@ -99,6 +99,13 @@ def edit_pairs(
     base = df.filter(F.char_length(ref(value)) > 0).select(
         ref(id).alias("_id"), ref(value).alias("_s"), F.char_length(ref(value)).alias("_n"), *keep
     )
+    if block:
+        # A record alone in its block has no partner. Two blocks with one hash only keep more records.
+        base = base.withColumn("_bk", F.xxhash64(*[f"_b{i}" for i in range(len(block))]))
+        crowded = base.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_bk")
+        base = base.join(crowded, "_bk", "left_semi").drop("_bk")
+    # Every record turns into dozens of keys below: spread the records evenly before that.
+    base = base.repartition(shuffle_width(df.sparkSession), "_id")
     slack = 1.0 - threshold
 
     def most_edits(length: Column) -> Column:
