@@ -397,13 +397,10 @@ def pair_diff(pairs: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def variation_profile(pairs: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """In how many pairs each column differs."""
-    return (
-        pair_diff(pairs, cols)
-        .select(F.explode("differing_columns").alias("column_name"))
-        .groupBy("column_name")
-        .agg(F.count(F.lit(1)).alias("pairs"))
-    )
+    """In how many pairs each column differs; one aggregate over the pairs."""
+    row = pairs.agg(*[F.count_if(~ref(f"a_{c}").eqNullSafe(ref(f"b_{c}"))).alias(f"c{i}") for i, c in enumerate(cols)])
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("pairs")) for i, c in enumerate(cols)]
+    return row.select(F.inline(F.array(*cells)))
 
 
 def similarity_histogram(pairs: DataFrame, score: str = "score", bins: int = 10) -> DataFrame:
