@@ -9,6 +9,7 @@ from truegrain.catalogue import fuzzy as fz
 from truegrain.catalogue.completeness import COLS, KIND, SCORE_CTES, gone
 from truegrain.catalogue.duplicates import DUP, LN, C, summary_sql
 from truegrain.catalogue.registry import query
+from truegrain.functions.session import materialised
 from truegrain.operators import cluster as cl
 from truegrain.operators import compare as cmp
 from truegrain.operators import duplicates as dup
@@ -249,7 +250,7 @@ def m04(spark, d):
 
 
 def part_groups(spark, d):
-    pairs = fz.near_pairs(spark, d).filter("score >= 0.7")
+    pairs = materialised(fz.near_pairs(spark, d).filter("score >= 0.7"))
     groups = cl.clusters(pairs)
     conflict = pairs.filter("a_p_retailprice <> b_p_retailprice").select(F.col("id_a").alias("member")).distinct()
     c = groups.join(conflict, F.col("cluster_id") == F.col("member"), "left")

@@ -45,9 +45,11 @@ def d02(spark, d):
     return h.join(n, "row_hash").select("rid", "rows_with_hash", F.length("row_hash").cast("bigint").alias("hash_length"))
 
 
-@query("d02_nested_row_hash")
+@query("d02_nested_row_hash", "SELECT vec_id, count(*) OVER (PARTITION BY embedding) AS rows_with_hash FROM embeddings")
 def d02b(spark, d):
-    return dup.with_row_hash(fx.table(spark, d, "embeddings")).select("vec_id", "row_hash")
+    h = dup.with_row_hash(fx.table(spark, d, "embeddings"), ["embedding"])
+    n = h.groupBy("row_hash").agg(F.count(F.lit(1)).alias("rows_with_hash"))
+    return h.join(n, "row_hash").select("vec_id", "rows_with_hash")
 
 
 @query("d03_duplicate_groups", f"SELECT {C}, count(*) AS occurrences FROM ({DUP}) z GROUP BY {C} HAVING count(*) > 1")

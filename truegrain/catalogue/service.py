@@ -85,7 +85,7 @@ def s07(spark, d):
     return files.pending_inputs(inputs, j.filter("status = 'completed'").select(F.col("file_path").alias("path")))
 
 
-@query("s08_inspect_dir")
+@query("s08_inspect_dir", "SELECT count(DISTINCT event_type) AS files, count(DISTINCT event_type) AS csv_files, count(*) > 0 AS has_inputs FROM events")
 def s08(spark, d):
     return files.inspect_dir(files.list_inputs(spark, _folder(spark, d))).select("files", "csv_files", "has_inputs")
 
