@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from truegrain.catalogue import fixtures as fx
@@ -64,19 +63,15 @@ PAIRS = f"""WITH near AS ({NEAR}), rec AS (SELECT min(p_partkey) AS id, p_brand,
 
 
 def order_pairs(spark, d):
-    """Every order with the customer's order before it: one pair per order, by a window."""
+    """Every order with the order numbered before it: one pair per order, by an equi-join on a unique key."""
     o = fx.table(spark, d, "orders")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    prev = [F.lag(c).over(w).alias(f"b_{c}") for c in ("o_orderkey", "o_orderdate", "o_orderpriority")]
-    return o.select(
-        F.col("o_orderkey").alias("a_o_orderkey"), F.col("o_orderdate").alias("a_o_orderdate"),
-        F.col("o_orderpriority").alias("a_o_orderpriority"), *prev,
-    ).filter("b_o_orderkey IS NOT NULL")
+    cols = ("o_orderkey", "o_orderdate", "o_orderpriority")
+    a, b = (o.select(*[F.col(c).alias(f"{s}_{c}") for c in cols]) for s in ("a", "b"))
+    return a.join(b, F.col("a_o_orderkey") == F.col("b_o_orderkey") + 1)
 
 
-ORDER_PAIRS = """WITH p AS (SELECT o_orderkey AS a_o_orderkey, o_orderdate AS da, o_orderpriority AS pa, lag(o_orderkey) OVER w AS b_o_orderkey,
-    lag(o_orderdate) OVER w AS db, lag(o_orderpriority) OVER w AS pb FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
-    q AS (SELECT * FROM p WHERE b_o_orderkey IS NOT NULL)"""
+ORDER_PAIRS = """WITH q AS (SELECT a.o_orderkey AS a_o_orderkey, a.o_orderdate AS da, a.o_orderpriority AS pa, b.o_orderkey AS b_o_orderkey,
+    b.o_orderdate AS db, b.o_orderpriority AS pb FROM orders a JOIN orders b ON a.o_orderkey = b.o_orderkey + 1)"""
 
 ABBREV = {
     "p_partkey": "p_partkey",
