@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from truegrain.llm import bpe, mixing, pii, quality, warc
+from truegrain.llm import bpe, minhash, mixing, pii, quality, warc
 from truegrain.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_minhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query("op2_pii")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans_of(read(spark, sf_dir, "documents"))
