@@ -223,6 +223,11 @@ def _texts(ids: str, tokens: str) -> tuple:
     return [int(x) for x in ids.split(" ")] if ids else [], tokens
 
 
+def _ids(ids: str, tokens: str) -> tuple:
+    found = [int(x) for x in ids.split(" ")] if ids else []
+    return len(found), found
+
+
 def _mapped(df: DataFrame, path: str, id_col: str, text: str, write, names: list[str], kinds: list) -> DataFrame:
     """Apply write() to every text of `df`; the vocabulary travels with the job as a file."""
     sc = df.sparkSession.sparkContext
@@ -253,6 +258,11 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "tex
     return _mapped(docs, path, id_col, text, _texts, ["ids", "decoded"], [pa.list_(pa.int32()), pa.string()])
 
 
+def token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids: as encoded(), without the decoded text."""
+    return _mapped(docs, path, id_col, text, _ids, ["n_tokens", "ids"], [pa.int64(), pa.list_(pa.int32())])
+
+
 def encoded_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: as encoded(), with the results hashed where they are made."""
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]

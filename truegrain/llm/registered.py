@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from truegrain.llm import bpe, minhash, mixing, pii, quality, warc
 from truegrain.llm.common import read
 
@@ -24,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 @query("op1_minhash")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
