@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from truegrain.llm import bpe, minhash, mixing, pii, quality, simhash, warc
+from truegrain.llm import bpe, minhash, mixing, pii, pivots, quality, simhash, warc
 from truegrain.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op5_pivots")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(read(spark, sf_dir, "documents"))
