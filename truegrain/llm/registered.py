@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from truegrain.llm import bpe, minhash, mixing, pii, pivots, quality, simhash, warc
+from truegrain.llm import bpe, katz, minhash, mixing, pii, pivots, quality, simhash, warc
 from truegrain.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query("op9_katz")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(read(spark, sf_dir, "documents"))
+
+
 OP10 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex FROM p),
