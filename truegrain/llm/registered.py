@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from truegrain.llm import bpe, katz, minhash, mixing, pii, pivots, quality, simhash, warc
+from truegrain.llm import bpe, katz, minhash, mixing, pii, pivots, quality, simhash, warc, windows
 from truegrain.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+@query("op6_windows")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 @query("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_fingerprints(read(spark, sf_dir, "documents"))
