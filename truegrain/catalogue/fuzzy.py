@@ -285,7 +285,7 @@ LSH = f"""WITH {SHINGLES}, x AS (SELECT id, ('0x' || substr(md5(unnest(s)), 1, 8
 
 
 def texts(spark, d):
-    return spread(fx.table(spark, d, "documents").select("doc_id", "text"))
+    return spread(fx.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def lsh(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a temporary one only where none is set."""
+    """The shared checkpoint folder of the cluster; a temporary one only in local mode, where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} share")
         root = tempfile.mkdtemp(prefix="checkpoints-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
@@ -39,13 +43,9 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """A freshly read table over all cores, for costly work per row on a few row groups.
-
-    A large table comes in many partitions and is left where it is: no shuffle then.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(2 * cores) if table.rdd.getNumPartitions() <= 2 * cores else table
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A freshly read table dealt out by its key, for costly work per row on what may be a few row groups."""
+    return table.repartition(shuffle_width(table.sparkSession), key)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from truegrain.functions.session import checkpointed
 
-MAX_ROUNDS = 60
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Tie the larger neighbours of every node to the smallest one around it."""
@@ -44,12 +42,8 @@ def components(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     """
     edges = pairs.select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent")).filter("child <> parent").distinct()
     edges = checkpointed(edges)
-    for _ in range(MAX_ROUNDS):
-        if _is_star_forest(edges):
-            break
+    while not _is_star_forest(edges):
         edges = checkpointed(_small_star(_large_star(edges)))
-    else:
-        raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     roots = edges.select(F.col("parent").alias("member"), F.col("parent").alias("cluster_id")).distinct()
     return edges.select(F.col("child").alias("member"), F.col("parent").alias("cluster_id")).unionByName(roots)
 
