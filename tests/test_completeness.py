@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from truegrain.functions import bands
 from truegrain.functions.missing import is_missing
+from truegrain.functions.quantiles import exact_quantiles
 from truegrain.operators import patterns, profile, rows, treatment
 from truegrain.plans import reports
 
@@ -156,3 +157,23 @@ def test_unknown_names_are_refused(spark):
         profile.column_completeness(df, ["b"])
     with pytest.raises(ValueError, match="unknown score parts"):
         profile.quality_score(df, {"beauty": 1})
+
+
+def test_long_integers_are_integers(spark):
+    df = spark.createDataFrame([("9223372036854775807",), ("-1234567890123456789",), ("99999999999999999999",)], "v string")
+    row = treatment.type_conformance(df, {"v": "integer"}).first()
+    assert (row["present"], row["conforming"]) == (3, 2)
+    assert treatment.infer_types(df.limit(2), ["v"]).first()["inferred_kind"] == "integer"
+
+
+def test_quantiles_are_exact(spark):
+    import random
+
+    rng = random.Random(2)
+    values = [rng.randrange(5000) for _ in range(4001)]
+    df = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values)] + [(0, None)], "g int, v int")
+    for q in (0.0, 0.25, 0.5, 0.95, 1.0):
+        got = {r.g: r.quantile for r in exact_quantiles(df, ["g"], "v", [q]).collect()}
+        for g in range(3):
+            own = sorted(v for i, v in enumerate(values) if i % 3 == g)
+            assert got[g] == own[max(-(-int(q * 100) * len(own) // 100), 1) - 1]

@@ -341,10 +341,10 @@ def q27(spark, d):
     return profile.quality_score(dirty(spark, d), cols=COLS)
 
 
-INT_RE = "^[+-]?[0-9]{1,18}$"
+INT_RE = "^[+-]?[0-9]+$"
 DEC_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DATE_RE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-IS_INT = f"regexp_matches(key_text, '{INT_RE}')"
+IS_INT = f"(regexp_matches(key_text, '{INT_RE}') AND TRY_CAST(key_text AS BIGINT) IS NOT NULL)"
 IS_DEC = f"regexp_matches(price_text, '{DEC_RE}')"
 IS_DATE = f"(regexp_matches(date_text, '{DATE_RE}') AND TRY_CAST(date_text AS DATE) IS NOT NULL)"
 EXPECTED = {"key_text": "integer", "price_text": "decimal", "date_text": "date"}
@@ -419,7 +419,7 @@ def _kind_sql(c: str) -> str:
     g = gone(c, "s")
     return f"""SELECT '{c}' AS column_name, n AS present, CASE WHEN n = 0 THEN 'unknown' WHEN i >= 0.9 * n THEN 'integer' WHEN f >= 0.9 * n THEN 'decimal'
     WHEN dt >= 0.9 * n THEN 'date' WHEN tm >= 0.9 * n THEN 'timestamp' WHEN v <= 50 THEN 'categorical' ELSE 'string' END AS inferred_kind FROM (
-    SELECT count(*) FILTER (WHERE NOT {g}) AS n, count(*) FILTER (WHERE NOT {g} AND regexp_matches({c}, '{INT_RE}')) AS i,
+    SELECT count(*) FILTER (WHERE NOT {g}) AS n, count(*) FILTER (WHERE NOT {g} AND regexp_matches({c}, '{INT_RE}') AND TRY_CAST({c} AS BIGINT) IS NOT NULL) AS i,
     count(*) FILTER (WHERE NOT {g} AND regexp_matches({c}, '{DEC_RE}')) AS f,
     count(*) FILTER (WHERE NOT {g} AND regexp_matches({c}, '{DATE_RE}') AND TRY_CAST({c} AS DATE) IS NOT NULL) AS dt,
     count(*) FILTER (WHERE NOT {g} AND TRY_CAST({c} AS TIMESTAMP) IS NOT NULL) AS tm,

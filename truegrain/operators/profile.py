@@ -29,7 +29,7 @@ def parses_as(value: Column, kind: str) -> Column:
         return F.lit(True)
     text = F.btrim(value.cast("string"))
     if kind == "integer":
-        return text.rlike(r"^[+-]?[0-9]{1,18}$")
+        return text.rlike(r"^[+-]?[0-9]+$") & text.try_cast("bigint").isNotNull()
     if kind == "decimal":
         return text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
     if kind == "date":

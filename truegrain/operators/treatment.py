@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from truegrain.functions import bands
 from truegrain.functions.missing import all_of, missing_tests, ref
+from truegrain.functions.quantiles import exact_quantiles
 from truegrain.operators.profile import (
     SPARSE_RATIO,
     column_completeness,
@@ -18,9 +19,6 @@ from truegrain.operators.profile import (
     sparse_columns,
 )
 
-QUANTILE_ACCURACY = 100_000
-
-
 def type_conformance(df: DataFrame, expected: Mapping[str, str], sentinels: Iterable[str] = ()) -> DataFrame:
     """Per column: values present, values that parse as the expected kind, and their share."""
     names = list(expected)
@@ -71,7 +69,6 @@ def infer_types(
             F.struct(
                 F.count(f"t{i}").alias("n"),
                 *[F.count_if(F.col(f"t{i}.{k}")).alias(k) for k in kinds],
-                F.approx_count_distinct(f"t{i}.v").alias("values"),
             ).alias(f"s{i}")
             for i in range(len(names))
         ]
@@ -83,20 +80,27 @@ def infer_types(
     kind = F.when(F.col("s.n") == 0, "unknown")
     for k in kinds:
         kind = kind.when(F.col(f"s.{k}") >= threshold * F.col("s.n"), k)
-    kind = kind.when(F.col("s.values") <= max_categories, "categorical").otherwise("string")
-    return long.select("column_name", F.col("s.n").alias("present"), kind.alias("inferred_kind"))
+    kind = kind.when(F.coalesce("values", F.lit(0)) <= max_categories, "categorical").otherwise("string")
+    counted = long.join(_distinct_values(df, tests), "column_name", "left")
+    return counted.select("column_name", F.col("s.n").alias("present"), kind.alias("inferred_kind"))
+
+
+def _distinct_values(df: DataFrame, tests: Mapping[str, Column]) -> DataFrame:
+    """column_name, values: distinct present values, counted exactly and as text; a task sends each value once."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.when(~t, ref(c).cast("string")).alias("v")) for c, t in tests.items()])
+    return df.select(F.inline(cells)).filter("v is not null").distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("values"))
 
 
 def describe_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Count, min, max, mean, sample deviation, quartiles and distinct estimate per column.
 
     Numeric columns carry all figures, other atomic columns only counts and text extremes.
-    Quartiles come from the mergeable quantile sketch, exact for up to 100 000 values.
+    Quartiles are exact values of the column, at any size.
     """
     kinds = column_types(df)
     names = [c for c in (cols or df.columns) if kinds[c] != "other"]
     tests = missing_tests(df, names)
-    aggs, cells = [], []
+    aggs, cells, numbers = [], [], []
     for i, c in enumerate(names):
         numeric = kinds[c] in ("integer", "decimal")
         v = F.when(~tests[c], ref(c))
@@ -112,8 +116,8 @@ def describe_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
             aggs += [
                 F.avg(x).alias(f"avg{i}"),
                 F.stddev_samp(x).alias(f"sd{i}"),
-                F.percentile_approx(x, [0.25, 0.5, 0.75], QUANTILE_ACCURACY).alias(f"q{i}"),
             ]
+            numbers.append(F.struct(F.lit(c).alias("of_column"), x.alias("v")))
         cells.append(
             F.struct(
                 F.lit(c).alias("column_name"),
@@ -124,10 +128,15 @@ def describe_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
                 F.col(f"d{i}").alias("distinct_estimate"),
                 (F.col(f"avg{i}") if numeric else none).alias("mean"),
                 (F.col(f"sd{i}") if numeric else none).alias("stddev"),
-                *[(F.col(f"q{i}")[j] if numeric else none).alias(q) for j, q in enumerate(("q1", "median", "q3"))],
             )
         )
-    return df.agg(*aggs).select(F.inline(F.array(*cells)))
+    described = df.agg(*aggs).select(F.inline(F.array(*cells)))
+    quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    if not numbers:
+        return described.withColumns({q: none for q in quartiles})
+    found = exact_quantiles(df.select(F.inline(F.array(*numbers))), ["of_column"], "v", list(quartiles.values()))
+    by_column = found.groupBy("of_column").agg(*[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(q) for q, p in quartiles.items()])
+    return described.join(by_column, F.col("column_name") == F.col("of_column"), "left").drop("of_column")
 
 
 def recommend_treatment(
@@ -187,18 +196,19 @@ def recommendations(
 def impute(df: DataFrame, plan: Mapping[str, str | tuple[str, object]], sentinels: Iterable[str] = ()) -> DataFrame:
     """Fill missing cells by column: 'mean', 'median', 'mode' or ('constant', value).
 
-    Means and medians of all columns come from one aggregate; a mode needs a count per value,
+    Means of all columns come from one aggregate; an exact median or a mode needs a count per value,
     equal counts are settled by the larger value.
     """
     tests = missing_tests(df, list(plan), sentinels)
     types = {f.name: f.dataType for f in df.schema.fields}
     stats: list[Column] = []
+    medians: dict[str, Column] = {}
     for c, how in plan.items():
         v = F.when(~tests[c], ref(c))
         if how == "mean":
             stats.append(F.avg(v.cast("double")).alias(c))
         elif how == "median":
-            stats.append(F.percentile_approx(v, 0.5, QUANTILE_ACCURACY).alias(c))
+            medians[c] = exact_quantiles(df.select(v.alias("v")), [], "v", [0.5]).agg(F.max("quantile").alias("m")).scalar()
         elif how != "mode" and not (isinstance(how, tuple) and how[0] == "constant"):
             raise ValueError(f"unknown imputation {how!r} for {c}")
     whole = df.agg(*stats).select(F.struct("*").alias("s")).scalar() if stats else None
@@ -210,7 +220,7 @@ def impute(df: DataFrame, plan: Mapping[str, str | tuple[str, object]], sentinel
             counts = df.filter(~tests[c]).groupBy(ref(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
             fill = counts.agg(F.max(F.struct("n", "v")).alias("m")).select("m.v").scalar()
         else:
-            fill = whole[c]
+            fill = medians[c] if how == "median" else whole[c]
         target = T.DoubleType() if how == "mean" else types[c]
         fills[c] = F.when(tests[c], fill.cast(target)).otherwise(ref(c).cast(target))
     return df.select(*[fills[c].alias(c) if c in fills else ref(c) for c in df.columns])
