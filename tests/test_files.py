@@ -12,9 +12,9 @@ SCHEMA = "id long, t string"
 def test_csv_line_breaks_quotes_ragged(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text('id,t,u\n1,"two\nlines, ""quoted""",x\n2,short\n3,a,b,extra\n')
-    got = tables.read_table(spark, str(p)).orderBy("id").collect()
+    got = tables.read_table(spark, str(p), multiline=True).orderBy("id").collect()
     assert [(r.id, r.t, r.u) for r in got] == [("1", 'two\nlines, "quoted"', "x"), ("2", "short", None), ("3", "a", "b")]
-    first = tables.preview(tables.read_table(spark, str(p)), 2).collect()
+    first = tables.preview(tables.read_table(spark, str(p), multiline=True), 2).collect()
     assert len(first) == 2 and first[1].u == "" and first[0].total_rows == 3
 
 
@@ -23,7 +23,7 @@ def test_round_trip(spark, tmp_path, fmt):
     df = spark.createDataFrame([(1, 'a\tb,"c"\nd'), (2, "é"), (3, None)], SCHEMA)
     path = str(tmp_path / f"t.{fmt}")
     tables.write_processed(df, path, fmt)
-    assert sorted(tables.read_table(spark, path, schema=SCHEMA).collect()) == sorted(df.collect())
+    assert sorted(tables.read_table(spark, path, schema=SCHEMA, multiline=True).collect()) == sorted(df.collect())
 
 
 def test_json_documents_and_lines(spark, tmp_path):
@@ -124,3 +124,44 @@ def test_shared_folder_is_used(spark):
     assert root == spark.conf.get("spark.checkpoint.dir", root)
     df = materialised(spark.range(3).toDF("x"))
     assert df.count() == 3 and df.inputFiles()[0].split(":", 1)[1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/"))
+
+
+def test_json_sorts_side_by_side(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": 1}\n{"id": 2}\n')
+    (tmp_path / "b.json").write_text('\n[\n{"id": 3},\n{"id": 4}]')
+    (tmp_path / "c.json").write_text('{"id": 5,\n "t": "x"}')
+    (tmp_path / "d.json").write_text('[{"id": 6}, {"id": 7}]')
+    got = tables.read_table(spark, [str(tmp_path / f"{x}.json") for x in "abcd"], schema="id bigint, t string")
+    assert sorted(r.id for r in got.collect()) == [1, 2, 3, 4, 5, 6, 7]
+    assert got.filter("t = 'x'").count() == 1
+    assert sorted(r.id for r in tables.read_table(spark, str(tmp_path), "json").collect()) == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_damaged_json_raises(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": 1}\n{"id": oops\n')
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        tables.read_table(spark, str(tmp_path / "a.json"), schema="id bigint").collect()
+
+
+def test_ragged_csv_is_counted(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,t\n1,x\n2,b,LOST\n3\nfour,y\n")
+    got = tables.damaged_rows(spark, str(tmp_path / "a.csv"), "id bigint, t string").collect()
+    assert sorted(r.line for r in got) == ["2,b,LOST", "3", "four,y"]
+    assert tables.damaged_counts(spark, str(tmp_path / "a.csv"), "id bigint, t string").first().damaged == 3
+
+
+def test_streamed_line_breaks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text('id,t\n1,"one\ntwo"\n2,three\n')
+    stream = streams.new_files(spark, str(tmp_path / "in"), "csv", tables.T.StructType.fromDDL("id bigint, t string"), multiline=True)
+    got = streams.as_batch(lambda s, c: streams.process_new(stream, s, c), spark, str(tmp_path))
+    batch = tables.read_table(spark, str(tmp_path / "in" / "a.csv"), schema="id bigint, t string", multiline=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) == [(1, "one\ntwo"), (2, "three")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    far = N(conf=N(get=lambda *_: None), sparkContext=N(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(far)

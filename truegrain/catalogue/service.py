@@ -19,10 +19,10 @@ PENDING = "status IN ('uploaded', 'pending', 'queued')"
 WORKING = "status IN ('processing', 'processing_uc1', 'processing_uc4', 'analyzing_completeness', 'detecting_duplicates', 'cleaning_file')"
 
 
-def round_trip(spark, df, fmt):
+def round_trip(spark, df, fmt, multiline=False):
     path = scratch_path(spark, f"table.{fmt}")
     tables.write_processed(df, path, fmt)
-    return tables.read_table(spark, path, fmt, df.schema)
+    return tables.read_table(spark, path, fmt, df.schema, multiline=multiline)
 
 
 # -- sources and sinks --------------------------------------------------------------
@@ -32,7 +32,7 @@ def round_trip(spark, df, fmt):
 def s01(spark, d):
     """Texts with line breaks, quotes and commas survive a CSV file."""
     docs = fx.table(spark, d, "documents").select("doc_id", "lang", "text")
-    back = round_trip(spark, docs, "csv")
+    back = round_trip(spark, docs, "csv", multiline=True)
     return back.select("doc_id", "lang", F.md5("text").alias("text_md5"), F.char_length("text").cast("bigint").alias("chars"))
 
 
@@ -41,9 +41,38 @@ def s02(spark, d):
     return round_trip(spark, fx.table(spark, d, "orders"), "tsv")
 
 
-@query("s03_json_scan", "SELECT event_id, user_id, event_type, value, props FROM events")
+@query("s01_damaged_rows", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'surplus' ELSE 'no number' END AS fault FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 = 3")
+def s01_damaged(spark, d):
+    """Rows with a surplus cell, and rows with a cell that is no number, are all found."""
+    bal = F.when(F.col("s_suppkey") % 7 == 3, "none").otherwise(F.col("s_acctbal").cast("string"))
+    more = F.when(F.col("s_suppkey") % 5 == 0, ",surplus").otherwise("")
+    path = scratch_path(spark, "supplier.csv")
+    lines = fx.table(spark, d, "supplier").select(F.concat(F.col("s_suppkey").cast("string"), F.lit(","), bal, more).alias("value"))
+    head = spark.createDataFrame([("s_suppkey,s_acctbal",)], "value string")
+    head.unionByName(lines).coalesce(1).write.text(path)  # one file, so that its header is its first line
+    bad = tables.damaged_rows(spark, path, "s_suppkey bigint, s_acctbal double")
+    fault = F.when(F.col("line").endswith(",surplus"), "surplus").otherwise("no number")
+    return bad.select(F.split("line", ",")[0].cast("bigint").alias("s_suppkey"), fault.alias("fault"))
+
+
+@query("s03_json_scan", "SELECT event_id, user_id, event_type, value, props, ts FROM events")
 def s03(spark, d):
-    return round_trip(spark, fx.table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "props"), "json")
+    return round_trip(spark, fx.table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "props", "ts"), "json")
+
+
+@query("s03_mixed_json", "SELECT event_id, user_id, event_type FROM events")
+def s03_mixed(spark, d):
+    """Files of records by line, of arrays on a line and of arrays over several lines, in one folder."""
+    path = scratch_path(spark, "mixed.json")
+    e = fx.table(spark, d, "events").select("event_id", "user_id", "event_type")
+    e.filter("event_id % 3 = 0").write.json(path)
+    for sort, gap in ((1, ", "), (2, ",\n")):
+        some = e.filter(F.col("event_id") % 3 == sort).groupBy(F.expr("event_id div 500").alias("part"))
+        rows = F.array_join(F.collect_list(F.to_json(F.struct(*e.columns))), gap)
+        one = some.agg(F.concat(F.lit("["), F.lit("\n" if sort == 2 else ""), rows, F.lit("]")).alias("value"))
+        one.repartition("part").write.mode("append").partitionBy("part").text(f"{path}/sort={sort}")
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").collect()
+    return tables.read_table(spark, [r.path for r in names], "json", e.schema)
 
 
 @query("s04_parquet_scan", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 5000")
@@ -377,6 +406,16 @@ def t01(spark, d):
     return spark.read.parquet(f"{base}/sink")
 
 
+@query("t01_streamed_csv", "SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def t01_csv(spark, d):
+    """A stream reads CSV texts with line breaks as a batch does."""
+    docs = fx.table(spark, d, "documents").select("doc_id", "text")
+    folder = scratch_path(spark, "texts")
+    tables.write_processed(docs, folder)
+    stream = streams.new_files(spark, folder, "csv", docs.schema, multiline=True).select("doc_id", F.md5("text").alias("text_md5"))
+    return streams.as_batch(lambda s, c: streams.process_new(stream, s, c), spark, scratch_path(spark, "t01csv"))
+
+
 @query("t02_flag_stream", f"{ROW} SELECT rid, {CRITICAL} AS is_incomplete, m::INT AS missing_value_count, {SCORE} AS completeness_score, {FLAG} AS quality_flag FROM r")
 def t02(spark, d):
     schema = fx.table(spark, d, "customer").schema

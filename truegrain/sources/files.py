@@ -50,7 +50,7 @@ def read_batch(
     folder: str | Sequence[str],
     fmt: str,
     schema: T.StructType | str | None = None,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """All files of a folder tree as one table with `source_file`; one job instead of one per file.
 

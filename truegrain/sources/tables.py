@@ -24,19 +24,41 @@ def format_of(path: str) -> str:
     raise ValueError(f"unsupported file type {ext!r} of {path}; supported are {', '.join(FORMATS)}{note}")
 
 
+# What a line of a damaged file held, in the readers below.
+DAMAGED = "_damaged"
+
+
+def csv_options(kind: str, multiline: bool = False) -> dict[str, object]:
+    """How CSV and TSV are read, in batches and in streams."""
+    return {
+        "header": True,
+        "sep": "\t" if kind == "tsv" else ",",
+        "encoding": "UTF-8",
+        "quote": '"',
+        "escape": '"',
+        "multiLine": multiline,
+        "mode": "PERMISSIVE",
+    }
+
+
 def read_table(
     spark: SparkSession,
     path: str | Sequence[str],
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
     infer: bool = False,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """One table from one or more files of a kind.
 
     CSV and TSV have a header; without a schema all columns are text unless `infer` is set, which
-    costs a pass over the data. `multiline` allows line breaks in quotes (and JSON documents over
-    several lines) but reads each file in one task: switch it off for large files that have none.
+    costs a pass over the data. Files are split between tasks; `multiline` allows line breaks in
+    quotes, for which each CSV file is read by one task. Rows with too many or too few cells are read as far
+    as they go; `damaged_rows` finds and counts them.
+
+    A JSON file is either one record per line or one document (an array, or a record over several
+    lines); each file is looked at on its own and both sorts may stand side by side. A JSON record
+    that can't be read raises an error.
     """
     paths = [path] if isinstance(path, str) else list(path)
     kinds = {fmt or format_of(p) for p in paths}
@@ -45,30 +67,62 @@ def read_table(
     kind = kinds.pop()
     reader = spark.read if schema is None else spark.read.schema(schema)
     if kind in ("csv", "tsv"):
-        return (
-            reader.option("header", True)
-            .option("sep", "\t" if kind == "tsv" else ",")
-            .option("encoding", "UTF-8")
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("multiLine", multiline)
-            .option("mode", "PERMISSIVE")
-            .option("enforceSchema", False)
-            .option("inferSchema", infer and schema is None)
-            .csv(paths)
-        )
+        options = csv_options(kind, multiline)
+        return reader.options(**options).option("enforceSchema", False).option("inferSchema", infer and schema is None).csv(paths)
     if kind == "json":
-        return reader.option("multiLine", False if not multiline else _is_json_document(spark, paths)).json(paths)
+        return _read_json(spark, paths, schema)
     if kind == "parquet":
         return reader.parquet(*paths)
     raise ValueError(f"unknown format {kind!r}; choose from {', '.join(FORMATS)}")
 
 
-def _is_json_document(spark: SparkSession, paths: Sequence[str]) -> bool:
-    """A file that starts with an array, or with a lone brace, is one document; else one record per line."""
-    first = spark.read.text(list(paths)).filter(F.length(F.btrim("value")) > 0).limit(1).collect()
-    start = first[0][0].strip() if first else ""
-    return start.startswith("[") or start == "{"
+def _read_json(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str | None) -> DataFrame:
+    """Lines and documents read apart and put together by name; the driver knows files, not records."""
+    lines, documents = _json_sorts(spark, paths)
+    parts = []
+    for files, multiline in ((lines, False), (documents, True)):
+        if files:
+            reader = spark.read if schema is None else spark.read.schema(schema)
+            parts.append(reader.option("multiLine", multiline).option("mode", "FAILFAST").json(files))
+    if not parts:
+        return (spark.read if schema is None else spark.read.schema(schema)).json(list(paths))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
+def _json_sorts(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Files whose first line that isn't blank is a whole record (or array of records), and all others."""
+    text = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"),
+        F.btrim("value", F.lit(" \t\r\n\ufeff")).alias("value"),
+    )
+    first = text.filter(F.length("value") > 0).groupBy("file").agg(F.min_by("value", "at").alias("value"))
+    record = F.substring("value", 1, 1).isin("{", "[") & F.try_parse_json("value").isNotNull()
+    sorts = first.select("file", record.alias("record")).collect()
+    return sorted(r.file for r in sorts if r.record), sorted(r.file for r in sorts if not r.record)
+
+
+def damaged_rows(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, fmt: str | None = None, multiline: bool = False) -> DataFrame:
+    """The rows of CSV or TSV files that don't fit: file, and the line as it stands.
+
+    A row doesn't fit if it has more or fewer cells than the schema, or a cell that is no value of
+    its type and would be read as missing.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    kind = fmt or format_of(paths[0])
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    marked = T.StructType([*schema.fields, T.StructField(DAMAGED, T.StringType())])
+    reader = spark.read.schema(marked).options(**csv_options(kind, multiline)).option("columnNameOfCorruptRecord", DAMAGED)
+    rows = reader.csv(paths).select("*", F.col("_metadata.file_path").alias("file"))
+    # a parser that is asked for no other column sees no damage in them, hence the hash, which is any number
+    every = F.hash(*[ref(f.name) for f in schema.fields]) >= -(2**31)
+    return rows.filter(F.col(DAMAGED).isNotNull() & every).select("file", F.col(DAMAGED).alias("line"))
+
+
+def damaged_counts(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, **how) -> DataFrame:
+    """file, damaged: rows that don't fit, per file that has any."""
+    return damaged_rows(spark, path, schema, **how).groupBy("file").agg(F.count(F.lit(1)).alias("damaged"))
 
 
 def preview(df: DataFrame, n: int = 100) -> DataFrame:
@@ -105,13 +159,18 @@ def _refuse_overlap(df: DataFrame, path: str) -> None:
             raise ValueError(f"{path} holds input of this job ({f}); write to another folder")
 
 
+# Times with all their digits; the writers' own default ends at milliseconds.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
+
+
 def write_processed(df: DataFrame, path: str, fmt: str = "csv", by: Sequence[str] = ()) -> None:
     """Write a table to a new folder, columns in order; CSV and TSV with a header in every part."""
     _refuse_overlap(df, path)
     writer = df.write.partitionBy(*by) if by else df.write
     if fmt in ("csv", "tsv"):
         (
-            writer.option("header", True)
+            writer.options(**TIMES)
+            .option("header", True)
             .option("sep", "\t" if fmt == "tsv" else ",")
             .option("quote", '"')
             .option("escape", '"')
@@ -119,7 +178,7 @@ def write_processed(df: DataFrame, path: str, fmt: str = "csv", by: Sequence[str
             .csv(path)
         )
     elif fmt == "json":
-        writer.json(path)
+        writer.options(**TIMES).json(path)
     elif fmt == "parquet":
         writer.parquet(path)
     else:
@@ -129,4 +188,4 @@ def write_processed(df: DataFrame, path: str, fmt: str = "csv", by: Sequence[str
 def write_report(report: DataFrame, path: str) -> None:
     """Write a report as JSON lines, timestamps in ISO form."""
     _refuse_overlap(report, path)
-    report.write.option("ignoreNullFields", False).json(path)
+    report.write.options(**TIMES).option("ignoreNullFields", False).json(path)

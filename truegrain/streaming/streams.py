@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from truegrain.functions.missing import missing_count, missing_tests, ref
 from truegrain.operators.rows import flag_rows
-from truegrain.sources.tables import FORMATS
+from truegrain.sources.tables import FORMATS, csv_options
 
 
 def new_files(
@@ -20,13 +20,17 @@ def new_files(
     schema: T.StructType,
     glob: str | None = None,
     files_per_batch: int | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
-    """Stream of the rows of files not seen before; the stream's checkpoint is the manifest."""
+    """Stream of the rows of files not seen before; the stream's checkpoint is the manifest.
+
+    CSV and TSV are read with the options of batches; `multiline` as there.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; choose from {', '.join(FORMATS)}")
     reader = spark.readStream.schema(schema).format("csv" if fmt == "tsv" else fmt)
     if fmt in ("csv", "tsv"):
-        reader = reader.option("header", True).option("escape", '"').option("sep", "\t" if fmt == "tsv" else ",")
+        reader = reader.options(**csv_options(fmt, multiline))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_batch:
