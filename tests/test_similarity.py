@@ -177,3 +177,12 @@ def test_variations(spark):
     )
     got = [r.variation for r in pairs.variation_type(df, "p").collect()]
     assert got == ["formatting", "abbreviation", "typo", "other", "identical"]
+
+
+def test_three_equal_fields_and_absent_ones(spark):
+    rows = [(1, "alpha beta", "gamma", "delta"), (2, "alpha bete", "gamma", "delta"), (3, None, "gamma", "delta"), (4, None, "gammb", "delta"), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, c string")
+    fields = [pairs.Field(x) for x in "abc"]
+    got = {(r.id_a, r.id_b) for r in pairs.similar_pairs(df, "id", fields, 0.8).collect()}
+    assert got == {(a, b) for a in (1, 2, 3, 4) for b in (1, 2, 3, 4) if a < b}
+    assert pairs.out_of_reach(df, fields).first().records == 1

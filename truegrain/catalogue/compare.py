@@ -250,7 +250,7 @@ def m04(spark, d):
 
 
 def part_groups(spark, d):
-    pairs = materialised(fz.near_pairs(spark, d).filter("score >= 0.7"))
+    pairs = materialised(fz.near_edges(spark, d, 0.7))
     groups = cl.clusters(pairs)
     conflict = pairs.filter("a_p_retailprice <> b_p_retailprice").select(F.col("id_a").alias("member")).distinct()
     c = groups.join(conflict, F.col("cluster_id") == F.col("member"), "left")
@@ -259,7 +259,8 @@ def part_groups(spark, d):
 
 @query(
     "m05_triage",
-    fz.component_sql(fz.PAIRS, "SELECT id_a, id_b FROM p WHERE score >= 0.7") + """, e AS (SELECT * FROM p WHERE score >= 0.7),
+    fz.component_sql(fz.PAIRS, "SELECT id_a, id_b FROM p WHERE score >= 0.7 UNION SELECT id_a, id_b FROM cp") + """, e AS (SELECT id_a, id_b, score, a_price, b_price FROM p
+    WHERE score >= 0.7 UNION ALL SELECT id_a, id_b, 1.0::DOUBLE, x.p_retailprice, y.p_retailprice FROM cp JOIN near x ON x.p_partkey = id_a JOIN near y ON y.p_partkey = id_b),
     s AS (SELECT cluster_id, min(score) AS ms FROM e JOIN comp ON e.id_a = comp.member GROUP BY 1), z AS (SELECT cluster_id, count(*) AS members FROM comp GROUP BY 1),
     q AS (SELECT members, CASE WHEN z.cluster_id IN (SELECT id_a FROM e WHERE a_price <> b_price) OR members > 5 THEN 'complex' WHEN ms >= 0.9 THEN 'automatic'
     ELSE 'manual_review' END AS queue FROM z JOIN s USING (cluster_id)) SELECT queue, count(*) AS groups, sum(members)::BIGINT AS rows FROM q GROUP BY 1""",
@@ -282,14 +283,14 @@ def m06(spark, d):
 
 def part_hits(spark, d):
     near = fx.near_part(spark, d)
-    pairs = fz.near_pairs(spark, d).filter("score >= 0.8")
+    pairs = fz.near_edges(spark, d, 0.8)
     fuzzy = pairs.select(F.explode(F.array("id_a", "id_b")).alias("row_id")).distinct()
     exact = dup.with_duplicate_count(near, fz.BLOCK + ["p_name"]).filter("duplicate_count > 1").select(F.col("p_partkey").alias("row_id"))
     key = keys.split_by_key(near, ["p_retailprice"])[1].select(F.col("p_partkey").alias("row_id"))
     return near, exact, fuzzy, key
 
 
-HITS = fz.PAIRS + """, fz AS (SELECT id_a AS r FROM p WHERE score >= 0.8 UNION SELECT id_b FROM p WHERE score >= 0.8),
+HITS = fz.PAIRS + """, fz AS (SELECT id_a AS r FROM p WHERE score >= 0.8 UNION SELECT id_b FROM p WHERE score >= 0.8 UNION SELECT id_a FROM cp UNION SELECT id_b FROM cp),
     ex AS (SELECT p_partkey AS r FROM (SELECT p_partkey, count(*) OVER (PARTITION BY p_brand, p_type, p_size, p_name) AS n FROM near) q WHERE n > 1),
     ky AS (SELECT p_partkey AS r FROM (SELECT p_partkey, count(*) OVER (PARTITION BY p_retailprice) AS n FROM near) q WHERE n > 1),
     h AS (SELECT r IN (SELECT r FROM ex) AS by_exact, r IN (SELECT r FROM fz) AS by_fuzzy, r IN (SELECT r FROM ky) AS by_key

@@ -107,17 +107,12 @@ def d07b(spark, d):
 
 @query(
     "d08_top_duplicates",
-    """WITH g AS (SELECT text, count(*) AS occurrences, list_slice(list(doc_id ORDER BY doc_id), 1, 5) AS ids FROM documents GROUP BY text
-    HAVING count(*) > 1) SELECT occurrences, array_to_string(ids, ',') AS sample_rows FROM g WHERE occurrences >
-    (SELECT min(occurrences) FROM (SELECT occurrences FROM g ORDER BY occurrences DESC LIMIT 10) t)""",
+    """SELECT count(*) AS occurrences, array_to_string(list_slice(list(doc_id ORDER BY doc_id), 1, 5), ',') AS sample_rows FROM documents GROUP BY text
+    HAVING count(*) > 1 ORDER BY count(*) DESC, min(doc_id) LIMIT 10""",
 )
 def d08(spark, d):
-    """Groups above the smallest count of the top ten: ties at the cut depend on the hash order."""
     top = dup.top_duplicates(fx.table(spark, d, "documents"), "doc_id", ["text"])
-    cut = top.agg(F.min("occurrences").alias("m")).scalar()
-    return top.filter(F.col("occurrences") > cut).select(
-        "occurrences", F.array_join(F.col("sample_rows").cast("array<string>"), ",").alias("sample_rows")
-    )
+    return top.select("occurrences", F.array_join(F.col("sample_rows").cast("array<string>"), ",").alias("sample_rows"))
 
 
 @query(

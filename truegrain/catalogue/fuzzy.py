@@ -59,7 +59,17 @@ PAIRS = f"""WITH near AS ({NEAR}), rec AS (SELECT min(p_partkey) AS id, p_brand,
     GROUP BY p_brand, p_type, p_size, p_name), ids AS (SELECT a.id AS id_a, b.id AS id_b, {LEV} AS score FROM rec a JOIN rec b ON
     a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.id < b.id WHERE {LEV} >= {LEAD_T}),
     p AS (SELECT ids.*, x.p_name AS a_p_name, y.p_name AS b_p_name, lower(x.p_name) AS a_nm, lower(y.p_name) AS b_nm, x.p_retailprice AS a_price,
-    y.p_retailprice AS b_price FROM ids JOIN near x ON x.p_partkey = id_a JOIN near y ON y.p_partkey = id_b)"""
+    y.p_retailprice AS b_price FROM ids JOIN near x ON x.p_partkey = id_a JOIN near y ON y.p_partkey = id_b),
+    cp AS (SELECT r.id AS id_a, n.p_partkey AS id_b FROM near n JOIN rec r ON n.p_brand = r.p_brand AND n.p_type = r.p_type AND n.p_size = r.p_size
+    AND n.p_name = r.p_name WHERE n.p_partkey <> r.id)"""
+
+
+def near_edges(spark, d, threshold):
+    """Similar parts, and one edge for every part that is an exact copy of another."""
+    df, _ = near_records(spark, d)
+    copies = pr.copy_edges(df, "p_partkey", [*BLOCK, "p_name", "nm"])
+    copies = pr.attach(copies, df, "p_partkey", ["p_name", "nm", "p_retailprice", *BLOCK])
+    return near_pairs(spark, d).filter(F.col("score") >= threshold).unionByName(copies)
 
 
 def order_pairs(spark, d):
@@ -135,7 +145,7 @@ def d26(spark, d):
     return p.select("id_a", "id_b", text.token_jaccard(F.col("a_p_name"), F.col("b_p_name")).alias("similarity"))
 
 
-_WORD = "upper(substr(p_name, strpos(p_name, ' ') + 1))"
+_WORD = "upper(w)"
 _CODES = f"translate({_WORD}, 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000077')"
 _STEP = f"replace({_CODES}, '7', '')"
 for _digit in "0123456":
@@ -145,10 +155,10 @@ for _digit in "0123456":
 @query(
     "d27_soundex",
     f"""SELECT substr({_WORD}, 1, 1) || rpad(substr(replace(substr({_STEP}, 2), '0', ''), 1, 3), 3, '0') AS phonetic_key, count(*) AS rows
-    FROM part GROUP BY 1""",
+    FROM (SELECT unnest({words_sql('p_name')}) AS w FROM part) z GROUP BY 1""",
 )
 def d27(spark, d):
-    p = fx.table(spark, d, "part").select(F.expr("upper(substr(p_name, instr(p_name, ' ') + 1))").alias("w"))
+    p = fx.table(spark, d, "part").select(F.explode(text.words(F.col("p_name"))).alias("w"))
     return p.groupBy(text.phonetic_key(F.col("w")).alias("phonetic_key")).agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -244,6 +254,24 @@ def d33(spark, d):
     return scored(spark, d, 0.75).select("id_a", "id_b", "s_nm", "s_p_retailprice", "score")
 
 
+THREE = [pr.Field("p_name", "text"), pr.Field("p_type", "text"), pr.Field("p_brand", "text")]
+_ABSENT = "CASE WHEN p_partkey % 11 = 5 THEN NULL ELSE p_name END"
+_SIMS = [(f"s{i}", lev_sql(f"a.{c}", f"b.{c}")) for i, c in enumerate(("p_name", "p_type", "p_brand"))]
+
+
+@query(
+    "d33_three_equal_fields",
+    f"""WITH near AS (SELECT p_partkey, {_ABSENT} AS p_name, p_type, p_brand FROM ({NEAR}) n WHERE p_size <= 3), rec AS (SELECT min(p_partkey) AS id, p_name, p_type, p_brand FROM near GROUP BY ALL),
+    s AS (SELECT a.id AS id_a, b.id AS id_b, {', '.join(f'{e} AS {n}' for n, e in _SIMS)} FROM rec a JOIN rec b ON a.id < b.id),
+    sc AS (SELECT *, (coalesce(s0, 0.0::DOUBLE) + s1 + s2) / (CASE WHEN s0 IS NULL THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END) AS score FROM s)
+    SELECT id_a, id_b, score FROM sc WHERE score >= 0.9""",
+)
+def d33_three(spark, d):
+    """Three text fields of one weight without blocks; some records lack the first."""
+    df = fx.near_part(spark, d).filter("p_size <= 3").withColumn("p_name", F.expr(_ABSENT))
+    return pr.similar_pairs(df, "p_partkey", THREE, 0.9).select("id_a", "id_b", "score")
+
+
 @query(
     "d34_block_sizes",
     f"""SELECT p_brand, p_type, p_size, count(*) AS records, (count(*) * (count(*) - 1) // 2)::BIGINT AS possible_pairs FROM ({NEAR}) n GROUP BY 1, 2, 3""",
@@ -351,10 +379,10 @@ def component_sql(ctes: str, edges: str) -> str:
 
 @query(
     "d40_duplicate_groups",
-    component_sql(PAIRS, "SELECT id_a, id_b FROM p WHERE score >= 0.8") + " SELECT member, cluster_id FROM comp",
+    component_sql(PAIRS, "SELECT id_a, id_b FROM p WHERE score >= 0.8 UNION SELECT id_a, id_b FROM cp") + " SELECT member, cluster_id FROM comp",
 )
 def d40(spark, d):
-    return cl.components(near_pairs(spark, d).filter("score >= 0.8"))
+    return cl.components(near_edges(spark, d, 0.8))
 
 
 COPIES = """SELECT h.id_a, sh.id AS id_b FROM sh JOIN (SELECT list_sort(s) AS s, min(id) AS id_a FROM sh GROUP BY 1 HAVING count(*) > 1) h

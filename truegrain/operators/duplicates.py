@@ -135,7 +135,7 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 def top_duplicates(
     df: DataFrame, index: str, cols: Sequence[str] | None = None, k: int = 10, n_idx: int = 5
 ) -> DataFrame:
-    """The k most repeated rows: hash, count and the first n_idx positions.
+    """The k most repeated rows: hash, count and the first n_idx positions; of equal counts the row seen first.
 
     At most k keys are broadcast, and per key n_idx positions leave each task.
     """
@@ -143,9 +143,9 @@ def top_duplicates(
     keyed = df.select(ref(index).alias("_i"), F.lower(F.hex(row_digest(df, names))).alias("row_hash"))
     top = (
         keyed.groupBy("row_hash")
-        .agg(F.count(F.lit(1)).alias("occurrences"))
+        .agg(F.count(F.lit(1)).alias("occurrences"), F.min("_i").alias("_first"))
         .filter("occurrences > 1")
-        .orderBy(F.desc("occurrences"), "row_hash")
+        .orderBy(F.desc("occurrences"), "_first")
         .limit(k)
     )
     w = Window.partitionBy("row_hash").orderBy("_i")

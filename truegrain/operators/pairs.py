@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from truegrain.functions import bands, text
 from truegrain.functions.hashing import row_digest
-from truegrain.functions.missing import ref
+from truegrain.functions.missing import all_of, ref
 from truegrain.functions.session import materialised, shuffle_width
 
 EPS = 1e-9
@@ -138,23 +138,20 @@ def edit_pairs(
     probe = probe.select("*", F.explode(pieces).alias("_piece"))
 
     keys = [f"_b{i}" for i in range(len(block))] + ["_len", "_d", "_i", "_piece"]
-    # A 64-bit hash stands for the key in the shuffle; the texts are compared afterwards anyway.
-    left = probe.select(F.xxhash64(*keys).alias("_k"), F.col("_id").alias("_x"), F.col("_s").alias("_xs"), F.col("_side").alias("_xside"), *[F.col(f"_b{i}").alias(f"_x{i}") for i in range(len(block))])
-    right = short.select(F.xxhash64(*keys).alias("_k"), F.col("_id").alias("_y"), F.col("_s").alias("_ys"), F.col("_side").alias("_yside"), *[F.col(f"_b{i}").alias(f"_y{i}") for i in range(len(block))])
-    met = left.join(right, "_k").filter(F.col("_x") != F.col("_y"))
-    for i in range(len(block)):
-        met = met.filter(F.col(f"_x{i}").eqNullSafe(F.col(f"_y{i}")))
+    # Only a 64-bit hash of the key and the id are shuffled; texts and blocks are fetched once per distinct pair.
+    left = probe.select(F.xxhash64(*keys).alias("_k"), F.col("_id").alias("_x")).distinct()
+    right = short.select(F.xxhash64(*keys).alias("_k"), F.col("_id").alias("_y")).distinct()
+    met = left.join(right, "_k").filter("_x <> _y")
+    met = met.select(F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b")).distinct()
+    blocks = [f"_b{i}" for i in range(len(block))]
+    for end in ("a", "b"):
+        own = base.select(F.col("_id").alias(f"id_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in ("_s", "_side", *blocks)])
+        met = met.join(own, f"id_{end}")
+    for c in blocks:
+        met = met.filter(F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")))
     if side:
-        met = met.filter(F.col("_xside") != F.col("_yside"))
-    return (
-        met.select(
-            F.least("_x", "_y").alias("id_a"),
-            F.greatest("_x", "_y").alias("id_b"),
-            text.lev_sim(F.col("_xs"), F.col("_ys")).alias("similarity"),
-        )
-        .filter(F.col("similarity") >= threshold)
-        .dropDuplicates(["id_a", "id_b"])
-    )
+        met = met.filter("_side_a <> _side_b")
+    return met.select("id_a", "id_b", text.lev_sim(F.col("_s_a"), F.col("_s_b")).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
 def block_pairs(df: DataFrame, id: str, value: str, threshold: float, blocks: Sequence[Sequence[str]]) -> DataFrame:
@@ -318,11 +315,15 @@ def pair_score(pairs: DataFrame, fields: Sequence[Field]) -> DataFrame:
     return out.withColumn("score", F.try_divide(total, weight))
 
 
-def lead_threshold(fields: Sequence[Field], lead: str, threshold: float) -> float:
-    """What the leading field must reach for the weighted score to reach the threshold at best."""
-    whole = sum(f.weight for f in fields)
-    own = next(f.weight for f in fields if f.name == lead)
-    return 1.0 - (1.0 - threshold) * whole / own
+def text_thresholds(fields: Sequence[Field], threshold: float) -> dict[str, float]:
+    """Per text field, what it must reach in a pair that scores enough and has no better text field.
+
+    Fields that are no texts count as equal. Of the text fields a pair has on both sides, one must
+    reach 1 - (1 - threshold) * (own weight + weight of the other sorts) / own weight, whichever others
+    are absent; with text fields only that is the threshold itself.
+    """
+    rest = sum(f.weight for f in fields if f.kind != "text")
+    return {f.name: 1.0 - (1.0 - threshold) * (f.weight + rest) / f.weight for f in fields if f.kind == "text"}
 
 
 def similar_pairs(
@@ -331,28 +332,40 @@ def similar_pairs(
     fields: Sequence[Field],
     threshold: float = 0.8,
     block: Sequence[str] = (),
-    lead: str | None = None,
 ) -> DataFrame:
     """Pairs of distinct records with a weighted score of at least the threshold.
 
-    The leading text field drives the candidates: a pair whose lead similarity is below
-    `lead_threshold` cannot score enough. Equal records count as one (see `copy_edges`), records
-    without a lead value are not compared.
+    Candidates are the pairs that are similar enough in any one of the text fields (see
+    `text_thresholds`), so none is missed, also where fields are absent. Equal records count as one
+    (see `copy_edges`). Pairs without a text field on both sides are out of reach; `out_of_reach`
+    counts the records that have none.
     """
-    lead = lead or next(f.name for f in fields if f.kind == "text")
-    need = lead_threshold(fields, lead, threshold)
-    if need <= 0.5:
+    need = text_thresholds(fields, threshold)
+    if not need:
+        raise ValueError("similar pairs need at least one text field")
+    low = {n: round(v, 2) for n, v in need.items() if v <= 0.5}
+    if low:
         raise ValueError(
-            f"with these weights {lead!r} need only be {need:.2f} similar, too little to find candidates by; "
-            "raise its weight or the threshold"
+            f"with these weights {low} is too little to find candidates by; raise the weight of these fields or the threshold"
         )
     cols = list(dict.fromkeys([*block, *[f.name for f in fields]]))
     records = collapse(df, id, cols)
-    candidates = edit_pairs(records, id, lead, need, block)
-    scored = pair_score(attach(candidates.select("id_a", "id_b"), records, id, cols), fields)
+    found = [edit_pairs(records, id, name, bound, block).select("id_a", "id_b") for name, bound in need.items()]
+    candidates = found[0]
+    for more in found[1:]:
+        candidates = candidates.unionByName(more)
+    if len(found) > 1:
+        candidates = candidates.distinct()
+    scored = pair_score(attach(candidates, records, id, cols), fields)
     return scored.filter(F.col("score") >= threshold)
 
 
+def out_of_reach(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
+    """One row, records: how many have no text field and can't be in a similar pair."""
+    empty = [F.coalesce(F.char_length(ref(f.name)), F.lit(0)) == 0 for f in fields if f.kind == "text"]
+    return df.agg(F.count_if(all_of(empty)).alias("records"))
+
+
 # -- reading the pairs --------------------------------------------------------------
 
 
