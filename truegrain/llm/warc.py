@@ -141,6 +141,8 @@ def _chained(rows: pd.DataFrame) -> pd.DataFrame:
     rows["start"] = after - len(MAGIC)
     rows["begin"] = after + rows["head"]
     rows["next"] = rows["begin"] + rows["length"] + len(END)
+    # a record that would end beyond its file has been cut off
+    rows.loc[rows["next"] > rows["bytes"], ["next", "length"]] = None
     place = {v: i for i, v in enumerate(rows["start"])}
     out = [None] * len(rows)
     for i in range(len(rows) - 1, -1, -1):
@@ -149,7 +151,7 @@ def _chained(rows: pd.DataFrame) -> pd.DataFrame:
             j = place.get(int(n))
             out[i] = int(n) if j is None else out[j]
     rows["leaves"] = pd.array(out, dtype="Int64")
-    return rows.drop(columns="base")
+    return rows.drop(columns=["base", "bytes"])
 
 
 def _marked(rows: pd.DataFrame) -> pd.DataFrame:
@@ -222,13 +224,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     Byte ranges are read in parallel. Offsets come from the sizes of the chunks: summed per range,
     then over the ranges of a file. Bytes that no chain from the start of a file reaches are payload
-    or damaged, and give no record; a file that doesn't begin with a record gives none at all.
+    or damaged, and give no record, nor does a record that its file ends within; a file that doesn't
+    begin with a record gives none at all.
     A revisit record has the length and digest of its own, empty payload here.
     """
     told = materialised(chunks(spark, path))
     ranges = told.groupBy("file", "range").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
     before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    base = ranges.select("file", "range", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
+    whole = Window.partitionBy("file")
+    base = ranges.select(
+        "file", "range", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"), (F.sum("bytes").over(whole) - len(MAGIC)).alias("bytes")
+    )
     schema = f"file string, `range` long, number long, size long, {TOLD}, start long, begin long, next long"
     rows = told.join(base, ["file", "range"]).groupBy("file", "range").applyInPandas(_chained, f"{schema}, leaves long")
     rows = materialised(rows)
