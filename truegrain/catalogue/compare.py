@@ -334,6 +334,20 @@ def m09(spark, d):
     )
 
 
+@query(
+    "m09_quality_report_orders",
+    """WITH o AS (SELECT *, (o_custkey IS NULL OR o_orderstatus IS NULL OR trim(o_orderstatus) = '' OR o_totalprice IS NULL OR o_orderdate IS NULL
+    OR o_orderpriority IS NULL OR trim(o_orderpriority) = '') AS bad FROM orders), g AS (SELECT count(*) AS c FROM o GROUP BY o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority),
+    u AS (SELECT sum(c)::BIGINT AS n, 100.0::DOUBLE * count(*)::DOUBLE / sum(c)::DOUBLE AS ratio, (sum(c) - count(*))::BIGINT AS removed FROM g), b AS (SELECT count(*) FILTER (WHERE bad) AS bad FROM o),
+    x AS (SELECT CASE WHEN bad = 0 THEN (100.0::DOUBLE + ratio) / 2.0::DOUBLE END AS overall_score, removed AS duplicate_rows,
+    n || ' rows; ' || bad || ' incomplete; ' || removed || ' duplicate' AS summary FROM u, b)
+    SELECT *, CASE WHEN overall_score >= 90 THEN 'EXCELLENT' WHEN overall_score >= 75 THEN 'GOOD' WHEN overall_score >= 60 THEN 'FAIR' ELSE 'POOR' END AS assessment FROM x""",
+)
+def m09b(spark, d):
+    r = reports.quality_report(fx.table(spark, d, "orders"), "o_orderkey")
+    return r.select("overall_score", "assessment", F.col("duplicates.duplicate_rows_removed").alias("duplicate_rows"), "summary")
+
+
 _M3 = "(nm IS NULL)::INT + (bal IS NULL)::INT + (nat IS NULL)::INT"
 
 

@@ -69,6 +69,22 @@ def q02(spark, d):
     return profile.column_completeness(dirty(spark, d), COLS)
 
 
+LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+@query(
+    "q02_lineitem",
+    "WITH c AS ("
+    + " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS column_name, count(*) AS total_rows, count(*) FILTER (WHERE {c} IS NULL OR trim({c}::VARCHAR) = '') AS missing_count FROM lineitem"
+        for i, c in enumerate(LINEITEM)
+    )
+    + ") SELECT *, missing_count::DOUBLE / total_rows::DOUBLE AS missing_ratio, 100.0::DOUBLE * (total_rows - missing_count)::DOUBLE / total_rows::DOUBLE AS completeness_pct FROM c",
+)
+def q02b(spark, d):
+    return profile.column_completeness(fx.table(spark, d, "lineitem"), list(LINEITEM))
+
+
 OVER = f"""{PER}, o AS (SELECT max(total_rows) AS total_rows, 6::BIGINT AS total_columns, (max(total_rows) * 6)::BIGINT AS total_cells,
     sum(missing_count)::BIGINT AS missing_cells FROM per), p AS (SELECT *,
     100.0::DOUBLE * (total_cells - missing_cells)::DOUBLE / total_cells::DOUBLE AS completeness_pct,

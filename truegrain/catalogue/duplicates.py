@@ -90,6 +90,17 @@ def d05c(spark, d):
     return dup.dedup(e, ["user_id", "event_type"], "latest", "event_id", "ts")
 
 
+@query(
+    "d05_dedup_lineitem",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+    ORDER BY l_partkey * 10000000 + l_suppkey) AS rn FROM lineitem) z WHERE rn = 1""",
+)
+def d05d(spark, d):
+    lines = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    placed = lines.withColumn("place", F.col("l_partkey") * 10000000 + F.col("l_suppkey"))
+    return dup.dedup(placed, ["l_orderkey", "l_linenumber"], "first", "place").drop("place")
+
+
 @query("d06_distinct_rows", f"SELECT DISTINCT {C} FROM ({DUP}) z")
 def d06(spark, d):
     return dup.distinct_rows(fx.dup_customer(spark, d).select(*fx.CUSTOMER))
