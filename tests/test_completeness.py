@@ -177,3 +177,9 @@ def test_quantiles_are_exact(spark):
         for g in range(3):
             own = sorted(v for i, v in enumerate(values) if i % 3 == g)
             assert got[g] == own[max(-(-int(q * 100) * len(own) // 100), 1) - 1]
+
+
+def test_previous_row_across_gaps(spark):
+    df = spark.createDataFrame([(i, f"v{i}") for i in (0, 1, 3, 20, 21, 100)], "i long, v string")
+    got = [(r.i, r.prev_v) for r in rows.with_previous(df, "i", ["v"], 3).orderBy("i").collect()]
+    assert got == [(0, None), (1, "v0"), (3, "v1"), (20, "v3"), (21, "v20"), (100, "v21")]

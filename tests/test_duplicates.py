@@ -204,3 +204,8 @@ def test_field_contribution_counts(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "i int, s string")
     got = {r.column_name: r.rows_merged_without for r in duplicates.field_contribution(df).collect()}
     assert got == {"i": 1, "s": 1}
+
+
+def test_negative_zero_inside_nested_values(spark):
+    df = spark.createDataFrame([([0.0], {"a": 0.0}, (1, 0.0)), ([-0.0], {"a": -0.0}, (1, -0.0)), (None, None, None)], "a array<double>, m map<string,double>, s struct<x:int,y:double>")
+    assert duplicates.duplicate_summary(df, ["a", "m", "s"]).first().unique_rows == 2

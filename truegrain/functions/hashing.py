@@ -18,13 +18,31 @@ _JSON = {
 _NARROW = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+def _varies(dtype: T.DataType) -> bool:
+    """Whether equal values of the type may look different: maps, and -0.0 at any depth."""
+    if isinstance(dtype, T.ArrayType):
+        return _varies(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return any(_varies(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, (T.MapType, T.FloatType, T.DoubleType))
+
+
 def canonical(value: Column, dtype: T.DataType) -> Column:
-    """Same value, one form: map entries sorted, -0.0 as 0.0."""
+    """Same value, one form: map entries sorted, -0.0 as 0.0, also inside arrays, structs and maps."""
+    if not _varies(dtype):
+        return value
     if isinstance(dtype, T.MapType):
-        return F.array_sort(F.map_entries(value))
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return value + F.lit(0.0).cast(dtype)
-    return value
+        key, of = canonical, dtype
+        entries = F.transform(
+            F.map_entries(value), lambda e: F.struct(key(e["key"], of.keyType).alias("key"), key(e["value"], of.valueType).alias("value"))
+        )
+        return F.array_sort(entries)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: canonical(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        fields = [canonical(value.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value + F.lit(0.0).cast(dtype)
 
 
 def canonical_columns(df: DataFrame, cols: Sequence[str] | None = None) -> list[Column]:

@@ -20,36 +20,29 @@ WITNESS_ROWS = 200_000
 def candidate_keys(df: DataFrame, cols: Sequence[str] | None = None, sentinels: Iterable[str] = ()) -> DataFrame:
     """Per column: distinct values, missing values, whether it identifies rows, and a name hint.
 
-    A first pass with sketches finds the columns that cannot be keys; only the others get an
-    exact distinct count. Columns ruled out carry a null in `distinct_values`.
+    All counts are exact. The cells of all columns are counted in one long table, each value once per
+    task, so no row is copied whole and columns that repeat cost little.
     """
     names = list(cols or df.columns)
     tests = missing_tests(df, names, sentinels)
-    first = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(t).alias(f"m{i}") for i, t in enumerate(tests.values())],
-        *[F.approx_count_distinct(c).alias(f"a{i}") for i, c in enumerate(canonical_columns(df, names))],
-    ).first()
-    # The sketch errs by 5 %: a column below half the rows is no key beyond any doubt.
-    open_ = [i for i in range(len(names)) if first[f"m{i}"] == 0 and 2 * first[f"a{i}"] >= first["n"]]
     canon = canonical_columns(df, names)
-    exact = df.agg(
-        F.count(F.lit(1)).alias("total_rows"), *[F.count_distinct(canon[i]).alias(f"d{i}") for i in open_]
-    )
-    none = F.lit(None).cast("bigint")
     cells = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.lit(first[f"m{i}"]).cast("bigint").alias("missing_count"),
-            (F.col(f"d{i}") if i in open_ else none).alias("distinct_values"),
-            (
-                (F.col(f"d{i}") == F.col("total_rows")) & (F.col("total_rows") > 0) if i in open_ else F.lit(False)
-            ).alias("is_key"),
-            F.lit(bool(KEY_HINT.search(c))).alias("name_hint"),
-        )
-        for i, c in enumerate(names)
+        F.struct(F.lit(i).alias("_i"), F.when(c.isNotNull(), F.unhex(F.sha2(F.to_json(F.struct(c.alias("v"))), 256))).alias("_h"))
+        for i, c in enumerate(canon)
     ]
-    return exact.select("total_rows", F.inline(F.array(*cells)))
+    values = df.select(F.inline(F.array(*cells))).filter("_h is not null").distinct()
+    distinct = values.groupBy("_i").agg(F.count(F.lit(1)).alias("distinct_values"))
+    counts = df.agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.array(*[F.struct(F.lit(i).alias("_c"), F.count_if(t).alias("missing_count")) for i, t in enumerate(tests.values())]).alias("_m"),
+    ).select("total_rows", F.inline("_m"))
+    known = counts.join(distinct, F.col("_c") == F.col("_i"), "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
+    name = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("_c") + 1)
+    hint = F.element_at(F.array(*[F.lit(bool(KEY_HINT.search(c))) for c in names]), F.col("_c") + 1)
+    is_key = (F.col("missing_count") == 0) & (F.col("distinct_values") == F.col("total_rows")) & (F.col("total_rows") > 0)
+    return known.select(
+        "total_rows", name.alias("column_name"), "missing_count", "distinct_values", is_key.alias("is_key"), hint.alias("name_hint")
+    )
 
 
 def minimal_keys(

@@ -188,22 +188,21 @@ def treat_rows(
 
 
 def with_previous(df: DataFrame, index: str, values: Sequence[str], stretch: int = STRETCH) -> DataFrame:
-    """Adds prev_<value>: the value one position earlier, null at position 0.
+    """Adds prev_<value>: the value of the row before in the order of `index`, null for the first row.
 
-    One shuffle by stretch. The last row of a stretch is also sent to the next stretch,
-    where it only serves as predecessor.
+    Positions may have gaps. Rows are ordered within stretches of positions; the first row of a stretch
+    takes the last row of the stretch before it that has any, known from one row per stretch.
     """
     pos = ref(index)
-    home = F.floor(pos / stretch).cast("bigint")
-    last = (pos % stretch) == (stretch - 1)
-    targets = F.when(last, F.array(home, home + 1)).otherwise(F.array(home))
-    spread = df.select("*", home.alias("_home"), F.explode(targets).alias("_stretch"))
-    w = Window.partitionBy("_stretch").orderBy(pos)
-    out = spread.select(
-        "*",
-        *[F.lag(ref(v)).over(w).alias(f"prev_{v}") for v in values],
-    )
-    return out.filter(F.col("_home") == F.col("_stretch")).drop("_home", "_stretch")
+    placed = df.withColumn("_stretch", F.floor(pos / stretch).cast("bigint"))
+    inside = Window.partitionBy("_stretch").orderBy(pos)
+    lasts = placed.groupBy("_stretch").agg(F.max_by(F.struct(*[ref(v).alias(f"_{i}") for i, v in enumerate(values)]), pos).alias("_last"))
+    carried = lasts.select(F.col("_stretch").alias("_to"), F.lag("_last").over(Window.orderBy("_stretch")).alias("_carried"))
+    out = placed.select("*", F.row_number().over(inside).alias("_rn"), *[F.lag(ref(v)).over(inside).alias(f"_p{i}") for i, v in enumerate(values)])
+    out = out.join(carried, F.col("_stretch") == F.col("_to"))
+    first = F.col("_rn") == 1
+    previous = [F.when(first, F.col(f"_carried._{i}")).otherwise(F.col(f"_p{i}")).alias(f"prev_{v}") for i, v in enumerate(values)]
+    return out.select(*[ref(c) for c in df.columns], *previous)
 
 
 def empty_sections(
