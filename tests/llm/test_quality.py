@@ -59,7 +59,7 @@ def test_one_text_does_not_change_another():
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
-    got = q.scored(docs, labels, passes=20).join(labels, "doc_id").filter("held_out").collect()
+    got = q.scored(docs, labels).join(labels, "doc_id").filter("held_out").collect()
     assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     right = np.mean([r.predicted == r.quality for r in got])
     kept = np.mean([r.predicted for r in got if r.quality])

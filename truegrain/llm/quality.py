@@ -20,8 +20,9 @@ from truegrain.llm.common import pieces, text_bytes
 
 #: Network: numbers per byte, bytes per filter, step of a filter, filters, bytes from chunk to chunk.
 DIM, WIDTH, STEP, FILTERS, CHUNK = 8, 6, 2, 24, 512
-#: Training: labelled texts used at most (half of each label where there are enough), passes, texts per step.
-SAMPLE, PASSES, BATCH, RATE = 4000, 6, 32, 0.004
+#: Training: labelled texts used at most (half of each label where there are enough), steps, texts per step. A small
+#: sample is gone over more often, so that the network is trained as long.
+SAMPLE, STEPS, BATCH, RATE = 4000, 750, 32, 0.004
 #: Bytes of text scored in one go.
 PART = 1 << 20
 
@@ -115,7 +116,7 @@ def _step(net: Network, data: np.ndarray, offsets: np.ndarray, label: np.ndarray
     return Network(byte, filt, dr.sum(0), out)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, passes: int = PASSES, seed: int = 0) -> Network:
+def fit(texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 0) -> Network:
     """Adam on the log loss, classes weighted alike. Without both labels the network says 0.5 of everything."""
     net = new_network(seed)
     y = np.asarray(labels, np.float32)
@@ -128,15 +129,15 @@ def fit(texts: list[bytes], labels: np.ndarray, passes: int = PASSES, seed: int
     m = {k: np.zeros_like(getattr(net, k)) for k in fields}
     v = {k: np.zeros_like(getattr(net, k)) for k in fields}
     size = np.array([len(t) for t in texts])
-    step, total = 0, passes * -(-len(texts) // BATCH)
-    for _ in range(passes):
+    step = 0
+    while step < steps:
         order = rng.permutation(len(texts))
-        for k in range(0, len(order), BATCH):
+        for k in range(0, len(order), BATCH)[: steps - step]:
             some = order[k : k + BATCH]
             data = np.frombuffer(b"".join([texts[i] for i in some]), np.uint8)
             g = _step(net, data, np.concatenate([[0], np.cumsum(size[some])]), y[some], weight[some])
             step += 1
-            rate = RATE * (1 - step / (total + 1)) + 1e-5
+            rate = RATE * (1 - step / (steps + 1)) + 1e-5
             for f in fields:
                 d = getattr(g, f)
                 m[f] = 0.9 * m[f] + 0.1 * d
@@ -182,8 +183,8 @@ def scorer(net: Network):
     return score
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passes: int = PASSES, seed: int = 0) -> Network:
-    return fit(*training_texts(docs, labels, sample), passes=passes, seed=seed)
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = STEPS, seed: int = 0) -> Network:
+    return fit(*training_texts(docs, labels, sample), steps=steps, seed=seed)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
