@@ -32,7 +32,7 @@ from truegrain.llm.common import LOWER, mix, pieces, text_bytes, word_hashes, wo
 #: Largest count that is discounted, least count of a bigram in the model.
 DISCOUNTED, LEAST = 5, 2
 #: Bytes of text per tile, and n-grams per partition of a table (about).
-TILE, PER_PART = 12 << 20, 400_000
+TILE, PER_PART = 6 << 20, 400_000
 #: Keys of the end and the start of a text.
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x57A2757A2757A275)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
