@@ -134,6 +134,12 @@ class Tile:
         return cls(vocab, doc, word, history, np.array(row["train"], bool), pairs, pair)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row after the other: a batch holds several tiles, and only one should be unpacked at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _sent(level: int, tile: int, parts: int, keys: np.ndarray, *columns: np.ndarray) -> list[dict]:
     """A row per partition that holds some of the sorted keys: partitions are ranges of the hash."""
     shift = np.uint64(64 - int(math.log2(parts)))
@@ -155,7 +161,7 @@ def _asked(parts: dict[int, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 t = Tile.of(row)
                 learned = t.train[t.doc]
                 uni = np.bincount(t.word[learned], minlength=len(t.vocab)).astype(np.uint32)
@@ -262,7 +268,7 @@ def _weighed(model: Model, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 t = Tile.of(row)
                 uni, bi, own = _replies(row, t)
                 h, w = _one_of_each(t)
@@ -317,7 +323,7 @@ SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_token
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 t = Tile.of(row)
                 backed = [x for x in row["told"] if x["level"] == 3]
                 row["told"] = [x for x in row["told"] if x["level"] < 3]
