@@ -196,10 +196,11 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     runs = uses.groupBy("key", "row", "pass").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"))
     runs = runs.select(F.col("key").alias("of"), F.col("row").alias("of_row"), "runs", F.expr("aggregate(runs, 0L, (n, r) -> n + r.high - r.low)").alias("words"))
     both = numbered(docs).join(runs, (F.col("key") == F.col("of")) & (F.col("row") - F.col("of_row") == 0))
-    some = r"concat_ws(' ', flatten(transform(runs, r -> slice(words_of, int(r.low) + 1, int(r.high - r.low)))))"
-    both = both.withColumn("words_of", F.when(F.col("words") < F.col("size"), F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0))))
-    text = F.when(F.col("words") < F.col("size"), F.expr(some)).otherwise(F.col("doc.text"))
-    out = both.withColumn("text", text)
+    cut = F.when(F.col("words") < F.col("size"), F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)))
+    # inside an array of one the words are split off once per row, not once per run of words
+    of_words = lambda w: F.flatten(F.transform("runs", lambda r: F.slice(w, r["low"].cast("int") + 1, (r["high"] - r["low"]).cast("int"))))
+    some = F.array_join(F.flatten(F.transform(F.array(cut), of_words)), " ")
+    out = both.withColumn("text", F.when(F.col("words") < F.col("size"), some).otherwise(F.col("doc.text")))
     made = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
