@@ -24,7 +24,7 @@ DIM, WIDTH, STEP, FILTERS, CHUNK = 8, 6, 2, 24, 512
 #: sample is gone over more often, so that the network is trained as long.
 SAMPLE, STEPS, BATCH, RATE = 4000, 750, 32, 0.004
 #: Bytes of text scored in one go.
-PART = 1 << 20
+PART = 1 << 18
 
 
 @dataclass
