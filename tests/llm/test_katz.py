@@ -108,3 +108,14 @@ def test_odd_tables(spark):
     assert got[0].n_known == 0 and got[0].train_tokens == 0 and got[0].score == 0
     repeated = [(1, "a b"), (1, "a b"), (1, None)]
     compare(repeated, k.scored(spark.createDataFrame(repeated, "doc_id long, text string")).collect())
+
+
+def test_pairs_seen_once_count(spark):
+    """A held-out copy of one training text scores above the same words in another order."""
+    copy, other = [i for i in range(1000, 1100) if fold(i)][:2]
+    learned = [i for i in range(100) if not fold(i)]
+    sentence = ["s%d" % i for i in range(30)]
+    rows = [(learned[0], " ".join(sentence)), *[(i, " ".join("r%d" % (i * 7 % 50 + j) for j in range(8))) for i in learned[1:20]]]
+    rows += [(copy, " ".join(sentence)), (other, " ".join(sentence[::-1]))]
+    score = {r.doc_id: r.score for r in k.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert score[copy] > score[other] + 5

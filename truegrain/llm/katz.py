@@ -1,7 +1,7 @@
 """Language-model scores: bigrams with Katz backoff.
 
-Counts of one and two words are discounted by Good and Turing's estimate; what a history loses by it,
-and by dropping bigrams seen once, goes to words not seen after it, in proportion to their unigram
+Counts of one and two words are discounted by Good and Turing's estimate; what a history loses by it
+goes to words not seen after it, in proportion to their unigram
 probability and exactly normalised. Unigrams back off in turn to one class of unknown words.
 
 The corpus is stored once as a table of tiles, each the word numbers of some documents and its own
@@ -30,7 +30,7 @@ from truegrain.functions.session import checkpoint_root, materialised
 from truegrain.llm.common import LOWER, mix, pieces, text_bytes, word_hashes, words
 
 #: Largest count that is discounted, least count of a bigram in the model.
-DISCOUNTED, LEAST = 5, 2
+DISCOUNTED, LEAST = 5, 1
 #: Bytes of text per tile, and n-grams per partition of a table (about).
 TILE, PER_PART = 6 << 20, 400_000
 #: Keys of the end and the start of a text.
