@@ -186,3 +186,16 @@ def test_three_equal_fields_and_absent_ones(spark):
     got = {(r.id_a, r.id_b) for r in pairs.similar_pairs(df, "id", fields, 0.8).collect()}
     assert got == {(a, b) for a in (1, 2, 3, 4) for b in (1, 2, 3, 4) if a < b}
     assert pairs.out_of_reach(df, fields).first().records == 1
+
+
+def test_three_equal_fields_of_all_sizes(spark, sf):
+    """Against all pairs, by the SQL of the query over small sizes with its filter dropped."""
+    from check_queries import differ, duck, run_spark, run_sql
+
+    import __spark_entry__ as entry
+
+    sql = entry.oracle_sql()["d33_three_equal_fields"]
+    assert sql.count(" WHERE p_size <= 3") == 1
+    want = run_sql(duck(sf), sql.replace(" WHERE p_size <= 3", ""))
+    got = run_spark(entry.queries()["d33_three_equal_fields_all"], spark, sf)
+    assert got[1] and differ(got, want) in (None, "last digits of doubles differ")

@@ -272,6 +272,13 @@ def d33_three(spark, d):
     return pr.similar_pairs(df, "p_partkey", THREE, 0.9).select("id_a", "id_b", "score")
 
 
+@query("d33_three_equal_fields_all")
+def d33_three_all(spark, d):
+    """The same over parts of all sizes; it has no SQL, whose check of all pairs is quadratic."""
+    df = fx.near_part(spark, d).withColumn("p_name", F.expr(_ABSENT))
+    return pr.similar_pairs(df, "p_partkey", THREE, 0.9).select("id_a", "id_b", "score")
+
+
 @query(
     "d34_block_sizes",
     f"""SELECT p_brand, p_type, p_size, count(*) AS records, (count(*) * (count(*) - 1) // 2)::BIGINT AS possible_pairs FROM ({NEAR}) n GROUP BY 1, 2, 3""",
