@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from truegrain.llm import bpe, katz, minhash, mixing, pii, pivots, quality, simhash, warc, windows
+from truegrain.llm import bpe, katz, minhash, mixing, pii, pivots, quality, rules, simhash, warc, windows
 from truegrain.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,45 @@ FROM f
 @query("op10_warc", OP10)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages")).drop("file", "start")
+
+
+OP12 = """
+WITH RECURSIVE step AS (SELECT i AS byte, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY byte) AS t FROM step WHERE k = 8),
+d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM d),
+u AS (SELECT row, unnest(words) AS a, unnest(range(len(words))) AS p FROM w),
+h AS (SELECT a, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * strlen(a), 2),
+    i -> CAST(('0x' || substr(hex(encode(a)), i, 2)) AS BIGINT))), (c, b) -> xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) AS n
+  FROM (SELECT DISTINCT a FROM u), crc),
+n AS (SELECT u.row, u.p, h.n FROM u JOIN h USING (a)),
+z AS (SELECT row, p, n, lead(n) OVER (PARTITION BY row ORDER BY p) AS n2 FROM n),
+g AS (SELECT row, n % 262144 AS bucket FROM z UNION ALL SELECT row, (n * 1000003 + n2) % 262144 FROM z WHERE n2 IS NOT NULL),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND max(toxic) = 0),
+c AS (SELECT bucket, count(*) AS r, count(good.doc_id) AS t FROM g JOIN d USING (row) LEFT JOIN good USING (doc_id) GROUP BY bucket),
+s AS (SELECT CAST(sum(r) AS BIGINT) AS r_all, CAST(sum(t) AS BIGINT) AS t_all FROM c),
+q AS (SELECT bucket, CASE WHEN r_all = 0 OR t_all = 0 THEN 0 ELSE CAST(round((ln(CAST(t + 1 AS DOUBLE) / CAST(t_all + 262144 AS DOUBLE))
+  - ln(CAST(r + 1 AS DOUBLE) / CAST(r_all + 262144 AS DOUBLE))) * 1e6) AS BIGINT) END AS ratio FROM c, s),
+l AS (SELECT row, count(*) AS n_grams, CAST(sum(ratio) AS BIGINT) AS llr_micro FROM g JOIN q USING (bucket) GROUP BY row),
+x AS (SELECT row, p, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY row ORDER BY p)),
+y AS (SELECT row, p, count(*) OVER (PARTITION BY row, a, b, c) AS times FROM x WHERE c IS NOT NULL),
+v AS (SELECT row, count(DISTINCT p + k) AS n_repeat_words FROM y, range(3) r(k) WHERE times > 1 GROUP BY row),
+e AS (SELECT row, list_filter(string_split(text, chr(10)), s -> regexp_matches(s, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+m AS (SELECT w.row, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(n_grams, 0) AS BIGINT) AS n_grams, CAST(coalesce(llr_micro, 0) AS BIGINT) AS llr_micro
+  FROM w JOIN e USING (row) LEFT JOIN v USING (row) LEFT JOIN l USING (row)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_grams, llr_micro,
+  CASE WHEN n_grams > 0 THEN CAST(llr_micro AS DOUBLE) / CAST(n_grams AS DOUBLE) / 1e6 END AS score,
+  NOT base_failed AND llr_micro >= -300000 * n_grams AS kept
+FROM f
+"""
+
+
+@query("op12_llr", OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return rules.judged(docs, rules.labelled(docs, read(spark, sf_dir, "labels")))
