@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from truegrain.llm import bpe, katz, minhash, mixing, pii, pivots, quality, rules, simhash, warc, windows
+from truegrain.llm import align, bpe, katz, minhash, mixing, pii, pivots, quality, rules, simhash, warc, windows
 from truegrain.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,9 @@ FROM f
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return rules.judged(docs, rules.labelled(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op13_align")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align.aligned(read(spark, sf_dir, "documents"), *paths, with_groups=False)
