@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from truegrain.llm import align, bpe, katz, minhash, mixing, pii, pivots, quality, rules, simhash, warc, windows
+from truegrain.llm import align, bpe, katz, minhash, mixing, pii, pivots, quality, rules, simhash, trie, warc, windows
 from truegrain.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,38 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages")).drop("file", "start")
 
 
+OP11 = """
+WITH RECURSIVE step AS (SELECT i AS byte, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY byte) AS t FROM step WHERE k = 8),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS nth, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (SELECT conv_id AS c, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(
+    string_split(CAST(conv_id AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT))), (c, b) -> xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc),
+rebuilt AS (SELECT c, 0 AS part, nth, role, text FROM ids JOIN turns ON turns.conv_id = base AND nth <= h
+  UNION ALL SELECT c, 1, nth, role, text FROM ids JOIN turns ON turns.conv_id = c AND nth > h),
+placed AS (SELECT c, row_number() OVER o AS d, list(length(role) || ':' || role || text) OVER o AS prefix, strlen(text) AS bytes
+  FROM rebuilt WINDOW o AS (PARTITION BY c ORDER BY part, nth)),
+rows AS (SELECT * FROM placed UNION ALL SELECT c, 0, [], 0 FROM ids),
+members AS (SELECT *, d = max(d) OVER (PARTITION BY c) AS last FROM rows),
+nodes AS (SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes,
+  coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '') AS ends FROM members GROUP BY d, prefix),
+up AS (SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.prefix = n.prefix[:n.d - 1]),
+kids AS (SELECT parent_conv_id AS conv_id, d - 1 AS d, count(*) AS n FROM up WHERE d > 0 GROUP BY ALL),
+own AS (SELECT up.*, coalesce(kids.n, 0) AS n_children FROM up LEFT JOIN kids USING (conv_id, d)),
+below AS (SELECT a.d, a.prefix, count(*) FILTER (o.n_children = 0) AS n_leaves, sum((o.n_convs - 1) * o.bytes) AS saved_tokens
+  FROM own o JOIN rows a ON a.c = o.conv_id AND a.d <= o.d GROUP BY a.d, a.prefix)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM own JOIN below USING (d, prefix)
+"""
+
+
+@query("op11_trie", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 OP12 = """
 WITH RECURSIVE step AS (SELECT i AS byte, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i)
   UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
