@@ -103,7 +103,7 @@ crc AS (SELECT list(c ORDER BY byte) AS t FROM step WHERE k = 8),
 turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS nth, role, text
   FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
 ids AS (SELECT conv_id AS c, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295, list_transform(
-    string_split(CAST(conv_id AS VARCHAR), ''), x -> CAST(ascii(x) AS BIGINT))), (c, b) -> xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 9 AS h
+    string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 9 AS h
   FROM (SELECT DISTINCT conv_id FROM turns), crc),
 rebuilt AS (SELECT c, 0 AS part, nth, role, text FROM ids JOIN turns ON turns.conv_id = base AND nth <= h
   UNION ALL SELECT c, 1, nth, role, text FROM ids JOIN turns ON turns.conv_id = c AND nth > h),
@@ -133,10 +133,10 @@ WITH RECURSIVE step AS (SELECT i AS byte, CAST(i AS BIGINT) AS c, 0 AS k FROM ra
   UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
 crc AS (SELECT list(c ORDER BY byte) AS t FROM step WHERE k = 8),
 d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT row, doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM d),
+w AS (SELECT row, doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM d),
 u AS (SELECT row, unnest(words) AS a, unnest(range(len(words))) AS p FROM w),
 h AS (SELECT a, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, 2 * strlen(a), 2),
-    i -> CAST(('0x' || substr(hex(encode(a)), i, 2)) AS BIGINT))), (c, b) -> xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) AS n
+    lambda i: CAST(('0x' || substr(hex(encode(a)), i, 2)) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) AS n
   FROM (SELECT DISTINCT a FROM u), crc),
 n AS (SELECT u.row, u.p, h.n FROM u JOIN h USING (a)),
 z AS (SELECT row, p, n, lead(n) OVER (PARTITION BY row ORDER BY p) AS n2 FROM n),
@@ -150,7 +150,7 @@ l AS (SELECT row, count(*) AS n_grams, CAST(sum(ratio) AS BIGINT) AS llr_micro F
 x AS (SELECT row, p, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY row ORDER BY p)),
 y AS (SELECT row, p, count(*) OVER (PARTITION BY row, a, b, c) AS times FROM x WHERE c IS NOT NULL),
 v AS (SELECT row, count(DISTINCT p + k) AS n_repeat_words FROM y, range(3) r(k) WHERE times > 1 GROUP BY row),
-e AS (SELECT row, list_filter(string_split(text, chr(10)), s -> regexp_matches(s, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+e AS (SELECT row, list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
 m AS (SELECT w.row, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
