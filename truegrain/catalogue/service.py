@@ -11,6 +11,7 @@ from truegrain.catalogue.registry import query
 from truegrain.functions.session import scratch_path
 from truegrain.operators import ledger
 from truegrain.plans import reports
+from truegrain.plans.directory import run_directory
 from truegrain.sources import files, order, tables
 from truegrain.streaming import streams
 
@@ -43,14 +44,15 @@ def s02(spark, d):
 
 @query("s01_damaged_rows", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'surplus' ELSE 'no number' END AS fault FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 = 3")
 def s01_damaged(spark, d):
-    """Rows with a surplus cell, and rows with a cell that is no number, are all found."""
+    """Rows with a surplus cell, and rows with a cell that is no number, are all found, in any of several files."""
     bal = F.when(F.col("s_suppkey") % 7 == 3, "none").otherwise(F.col("s_acctbal").cast("string"))
-    more = F.when(F.col("s_suppkey") % 5 == 0, ",surplus").otherwise("")
-    path = scratch_path(spark, "supplier.csv")
-    lines = fx.table(spark, d, "supplier").select(F.concat(F.col("s_suppkey").cast("string"), F.lit(","), bal, more).alias("value"))
-    head = spark.createDataFrame([("s_suppkey,s_acctbal",)], "value string")
-    head.unionByName(lines).coalesce(1).write.text(path)  # one file, so that its header is its first line
-    bad = tables.damaged_rows(spark, path, "s_suppkey bigint, s_acctbal double")
+    src = fx.table(spark, d, "supplier").repartition(4, "s_suppkey")
+    root = scratch_path(spark, "suppliers")
+    # a surplus cell is a cell more than the schema that the files are read with has
+    src.filter("s_suppkey % 5 <> 0").select("s_suppkey", bal.alias("s_acctbal")).write.option("header", True).csv(f"{root}/plain")
+    more = src.filter("s_suppkey % 5 = 0").select("s_suppkey", bal.alias("s_acctbal"), F.lit("surplus").alias("more"))
+    more.write.option("header", True).csv(f"{root}/more")
+    bad = tables.damaged_rows(spark, [f"{root}/plain", f"{root}/more"], "s_suppkey bigint, s_acctbal double", "csv")
     fault = F.when(F.col("line").endswith(",surplus"), "surplus").otherwise("no number")
     return bad.select(F.split("line", ",")[0].cast("bigint").alias("s_suppkey"), fault.alias("fault"))
 
@@ -65,14 +67,14 @@ def s03_mixed(spark, d):
     """Files of records by line, of arrays on a line and of arrays over several lines, in one folder."""
     path = scratch_path(spark, "mixed.json")
     e = fx.table(spark, d, "events").select("event_id", "user_id", "event_type")
-    e.filter("event_id % 3 = 0").write.json(path)
+    e.filter("event_id % 3 = 0").write.json(f"{path}/lines")
+    # documents of 200 records each, as many as it takes; every file holds one
     for sort, gap in ((1, ", "), (2, ",\n")):
-        some = e.filter(F.col("event_id") % 3 == sort).groupBy(F.expr("event_id div 500").alias("part"))
+        some = e.filter(F.col("event_id") % 3 == sort).groupBy(F.expr("event_id div 600").alias("part"))
         rows = F.array_join(F.collect_list(F.to_json(F.struct(*e.columns))), gap)
         one = some.agg(F.concat(F.lit("["), F.lit("\n" if sort == 2 else ""), rows, F.lit("]")).alias("value"))
-        one.repartition("part").write.mode("append").partitionBy("part").text(f"{path}/sort={sort}")
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").collect()
-    return tables.read_table(spark, [r.path for r in names], "json", e.schema)
+        one.repartition("part").write.partitionBy("part").text(f"{path}/sort={sort}")
+    return tables.read_table(spark, [f"{path}/lines", f"{path}/sort=1", f"{path}/sort=2"], "json", e.schema)
 
 
 @query("s04_parquet_scan", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 5000")
@@ -131,6 +133,68 @@ def s09(spark, d):
     return per.select(kind, "total_rows", "missing_cells", "incomplete_rows", "completeness_pct")
 
 
+_KINDS = ("csv", "tsv", "json", "parquet")
+
+
+def _mixed_folder(spark, d):
+    """Two tables in four kinds of files, some rows repeated within a file, and files that hold no text."""
+    root = scratch_path(spark, "inputs")
+    c = fx.dup_customer(spark, d).select(*fx.CUSTOMER)
+    for k, kind in enumerate(_KINDS):
+        tables.write_processed(c.filter(F.col("c_custkey") % 4 == k).repartition(3, "c_custkey"), f"{root}/{kind}", kind)
+    tables.write_processed(fx.dirty_customer(spark, d).select("k", "nm", "bal").repartition(3, "k"), f"{root}/gaps", "csv")
+    junk = fx.table(spark, d, "nation").select(F.concat_ws("\x01", "n_name", "n_name").alias("bytes"))
+    junk.write.option("header", False).csv(f"{root}/junk")
+    return root
+
+
+def _run(spark, d):
+    root = _mixed_folder(spark, d)
+    reference = fx.table(spark, d, "customer").select(*fx.CUSTOMER).filter("c_custkey % 10 <> 3")
+    return run_directory(spark, root, scratch_path(spark, "processed"), reference=reference, sentinels=())
+
+
+_RUN_SQL = f"""WITH c AS (SELECT CASE c_custkey % 4 WHEN 0 THEN 'csv' WHEN 1 THEN 'tsv' WHEN 2 THEN 'json' ELSE 'parquet' END AS folder, * FROM ({fx.DUP_CUSTOMER_SQL}) x),
+    a AS (SELECT folder, 'completed' AS status, count(*) AS total_rows, 0 AS missing_cells, 0 AS incomplete_rows, count(*) - count(DISTINCT c_custkey) AS duplicate_rows,
+      count(DISTINCT c_custkey) AS rows_written, count(*) FILTER (WHERE c_custkey % 10 <> 3) AS known_rows, '' AS missing_columns FROM c GROUP BY folder),
+    g AS (SELECT k, nullif(trim(nm), '') AS nm, bal FROM ({fx.DIRTY_CUSTOMER_SQL}) y),
+    b AS (SELECT 'gaps' AS folder, 'completed' AS status, count(*) AS total_rows, sum((k IS NULL)::INT + (nm IS NULL)::INT + (bal IS NULL)::INT) AS missing_cells,
+      count(*) FILTER (WHERE k IS NULL OR nm IS NULL OR bal IS NULL) AS incomplete_rows, greatest(count(*) FILTER (WHERE k IS NULL) - 1, 0) AS duplicate_rows,
+      count(k) + least(count(*) FILTER (WHERE k IS NULL), 1) AS rows_written, NULL AS known_rows, '{",".join(fx.CUSTOMER)}' AS missing_columns FROM g),
+    u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT 'junk', 'failed', NULL, NULL, NULL, NULL, NULL, NULL, NULL)"""
+_RUN_COUNTS = ["total_rows", "missing_cells", "incomplete_rows", "duplicate_rows", "rows_written", "known_rows"]
+
+
+@query("s09_directory_run", f"{_RUN_SQL} SELECT folder, status, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _RUN_COUNTS)}, missing_columns FROM u")
+def s09_run(spark, d):
+    """Files of four kinds and two tables, flagged, deduplicated, compared with a reference and written; broken ones reported."""
+    folder = F.regexp_extract("source_file", "/([^/]+)/[^/]+$", 1).alias("folder")
+    return _run(spark, d).groupBy(folder, "status").agg(
+        *[F.sum(c).alias(c) for c in _RUN_COUNTS], F.max(F.array_join("missing_columns", ",")).alias("missing_columns")
+    )
+
+
+@query(
+    "p15_ledger_of_run",
+    f"""{_RUN_SQL} SELECT folder, status, CAST(rows_written AS BIGINT) AS rows_written, CAST(coalesce(incomplete_rows, 0) + coalesce(duplicate_rows, 0) AS BIGINT) AS issues_found,
+    status = 'failed' AS has_error, 2 AS entries FROM u""",
+)
+def p15_run(spark, d):
+    """A run appended to the ledger twice: one state per file, the later one, from two entries each."""
+    run = _run(spark, d)
+    path = scratch_path(spark, "ledger")
+    for at in (1000, 2000):
+        ledger.append_entries(ledger.run_entries(run, "UC1,UC4", F.timestamp_seconds(F.lit(at))), path)
+    book = spark.read.parquet(path)
+    now = ledger.current_jobs(book).filter("seq = 2000000000").join(book.groupBy("job_id").agg(F.count(F.lit(1)).alias("entries")), "job_id")
+    folder = F.regexp_extract("file_path", "/([^/]+)/[^/]+$", 1).alias("folder")
+    written = F.get_json_object("results_json", "$.rows_written").cast("bigint")
+    return now.groupBy(folder, "status").agg(
+        F.sum(written).alias("rows_written"), F.sum("issues_found").alias("issues_found"), F.max(F.col("error_message").isNotNull()).alias("has_error"),
+        F.max("entries").cast("int").alias("entries"),
+    )
+
+
 @query(
     "s10_preview",
     """SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus, (SELECT count(*) FROM orders) AS total_rows

@@ -158,9 +158,45 @@ def error_frequencies(jobs: DataFrame) -> DataFrame:
 
 
 def current_jobs(ledger: DataFrame, job: str = "job_id", updated: str = "updated_at", seq: str = "seq") -> DataFrame:
-    """The latest entry of every job in an append-only ledger."""
-    w = Window.partitionBy(ref(job)).orderBy(ref(updated).desc(), ref(seq).desc())
-    return ledger.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """The latest entry of every job in an append-only ledger: the greatest (updated, seq).
+
+    The latest entry is a mergeable maximum, kept per input partition before the shuffle, so a job with
+    very many entries sends one row per partition.
+    """
+    latest = F.max_by(F.struct(*[ref(c) for c in ledger.columns]), F.struct(ref(updated), ref(seq)))
+    return ledger.groupBy(ref(job).alias("_job")).agg(latest.alias("_l")).select(*[F.col("_l").getField(c).alias(c) for c in ledger.columns])
+
+
+def append_entries(entries: DataFrame, path: str) -> None:
+    """Add entries to the ledger below `path`; nothing there is changed. Two appends at a time don't disturb each other."""
+    entries.write.mode("append").parquet(path)
+
+
+def compacted(ledger: DataFrame, path: str, **names) -> None:
+    """Write the latest entry of every job to a new ledger; the old one stays until its owner removes it."""
+    current_jobs(ledger, **names).write.parquet(path)
+
+
+def run_entries(results: DataFrame, job_type: str, at: Column | None = None, duration_ms: Column | None = None) -> DataFrame:
+    """Ledger entries for the files of a directory run: job_id (from the path), seq, updated_at, status, results_json, and so on."""
+    moment = F.current_timestamp() if at is None else at
+    counts = ["output", "total_rows", "rows_written", "missing_cells", "incomplete_rows", "duplicate_rows", "known_rows"]
+    told = F.to_json(F.struct(F.col("output").alias("output_file_path"), *counts[1:]))
+    return results.select(
+        F.xxhash64("source_file").alias("job_id"), F.unix_micros(moment).alias("seq"), moment.alias("updated_at"),
+        F.col("source_file").alias("file_path"), F.element_at(F.split("source_file", "/"), -1).alias("filename"), F.lit(job_type).alias("job_type"),
+        "status", F.when(F.col("status") == "completed", told).alias("results_json"), F.col("error").alias("error_message"),
+        F.col("completeness_pct").alias("quality_score"), (F.coalesce("incomplete_rows", F.lit(0)) + F.coalesce("duplicate_rows", F.lit(0))).alias("issues_found"),
+        (F.lit(None) if duration_ms is None else duration_ms).cast("bigint").alias("duration_ms"),
+    )
+
+
+def run_activity(entries: DataFrame, agent: str) -> DataFrame:
+    """Activity log of ledger entries: id, job_id, agent_name, activity_details, timestamp."""
+    return entries.select(
+        F.xxhash64("job_id", "seq").alias("id"), "job_id", F.lit(agent).alias("agent_name"),
+        F.concat_ws(": ", "filename", "status", "error_message").alias("activity_details"), F.col("updated_at").alias("timestamp"),
+    )
 
 
 def job_detail(jobs: DataFrame, schema: str = "output_file_path string, rows bigint") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from truegrain.functions.missing import ref
+from truegrain.sources.headers import first_lines
 
 # Extensions that can be read, and those known but not supported.
 FORMATS = {"csv": "csv", "tsv": "tsv", "json": "json", "parquet": "parquet"}
@@ -90,15 +91,13 @@ def _read_json(spark: SparkSession, paths: Sequence[str], schema: T.StructType |
 
 
 def _json_sorts(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[str]]:
-    """Files whose first line that isn't blank is a whole record (or array of records), and all others."""
-    text = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"),
-        F.btrim("value", F.lit(" \t\r\n\ufeff")).alias("value"),
-    )
-    first = text.filter(F.length("value") > 0).groupBy("file").agg(F.min_by("value", "at").alias("value"))
-    record = F.substring("value", 1, 1).isin("{", "[") & F.try_parse_json("value").isNotNull()
-    sorts = first.select("file", record.alias("record")).collect()
+    """Files whose first line that isn't blank is a whole record (or array of records), and all others.
+
+    A few lines of each block are read. The reader below needs the names of the files, so these are collected.
+    """
+    line = F.col("line")
+    record = F.substring(line, 1, 1).isin("{", "[") & F.try_parse_json(line).isNotNull()
+    sorts = first_lines(spark, paths).select("file", record.alias("record")).collect()
     return sorted(r.file for r in sorts if r.record), sorted(r.file for r in sorts if not r.record)
 
 
@@ -163,15 +162,16 @@ def _refuse_overlap(df: DataFrame, path: str) -> None:
 TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
 
 
-def write_processed(df: DataFrame, path: str, fmt: str = "csv", by: Sequence[str] = ()) -> None:
-    """Write a table to a new folder, columns in order; CSV and TSV with a header in every part."""
+def write_processed(df: DataFrame, path: str, fmt: str = "csv", by: Sequence[str] = (), mode: str = "errorifexists") -> None:
+    """Write a table to a new folder (or, to append, one more table), columns in order; CSV and TSV with a header in every part."""
     _refuse_overlap(df, path)
-    writer = df.write.partitionBy(*by) if by else df.write
+    writer = (df.write.partitionBy(*by) if by else df.write).mode(mode)
     if fmt in ("csv", "tsv"):
         (
             writer.options(**TIMES)
             .option("header", True)
             .option("sep", "\t" if fmt == "tsv" else ",")
+            .option("extension", fmt)
             .option("quote", '"')
             .option("escape", '"')
             .option("encoding", "UTF-8")
