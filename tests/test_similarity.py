@@ -199,3 +199,57 @@ def test_three_equal_fields_of_all_sizes(spark, sf):
     want = run_sql(duck(sf), sql.replace(" WHERE p_size <= 3", ""))
     got = run_spark(entry.queries()["d33_three_equal_fields_all"], spark, sf)
     assert got[1] and differ(got, want) in (None, "last digits of doubles differ")
+
+
+def _buckets(spark, groups, n_buckets=1):
+    """Members of one bucket: numbers; two are alike if they are in one of `groups`."""
+    ids = sorted({i for g in groups for i in g})
+    members = spark.createDataFrame([(b, i, 10) for b in range(n_buckets) for i in ids], "bucket long, id long, size long")
+    seen = []
+
+    def verify(pairs):
+        from pyspark.sql import functions as F
+
+        seen.append(pairs.count())
+        alike = [(min(a, b), max(a, b)) for g in groups for a in g for b in g if a != b]
+        found = pairs.sparkSession.createDataFrame(sorted(set(alike)), "id_a long, id_b long").withColumn("_s", F.lit(1.0))
+        return pairs.join(found, ["id_a", "id_b"], "left").withColumn("similarity", F.coalesce("_s", F.lit(0.0)))
+
+    return members, verify, seen
+
+
+def test_bucket_links_of_one_family_are_linear(spark):
+    from truegrain.operators.cluster import components
+    from truegrain.operators.pairs import bucket_links
+
+    members, verify, seen = _buckets(spark, [list(range(300))])
+    links = bucket_links(members, verify, 0.8)
+    assert components(links).select("cluster_id").distinct().count() == 1
+    assert sum(seen) < 2 * 300
+
+
+def test_bucket_links_find_groups_behind_an_unlike_head(spark):
+    from truegrain.operators.cluster import components
+    from truegrain.operators.pairs import bucket_links
+
+    groups = [[99], [1, 2, 3], [4, 5], [6, 7, 8, 9]]
+    members, verify, _ = _buckets(spark, groups, 2)
+    got = {r.member: r.cluster_id for r in components(bucket_links(members, verify, 0.8)).collect()}
+    assert got == {i: g[0] for g in groups[1:] for i in g}
+
+
+def test_set_links_give_the_groups_of_all_pairs(spark):
+    import random
+
+    from truegrain.operators.cluster import components
+    from truegrain.operators.pairs import jaccard_pairs, set_links
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(12):
+        base = rng.sample(range(10**6), 40)
+        for j in range(rng.randrange(1, 6)):
+            rows.append((len(rows), sorted(base[rng.randrange(6) :] + rng.sample(range(10**6), rng.randrange(12)))))
+    sets = spark.createDataFrame(rows, "id long, tokens array<long>")
+    group = lambda links: {r.member: r.cluster_id for r in components(links).collect()}
+    assert group(set_links(sets, 0.5)) == group(jaccard_pairs(sets, 0.5))

@@ -413,16 +413,13 @@ def d40b(spark, d):
 
 @query(
     "d40_text_groups_lsh",
-    component_sql(LSH, """SELECT id_a, id_b FROM cand JOIN sh a ON a.id = id_a JOIN sh b ON b.id = id_b WHERE
-    len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))::DOUBLE >= 0.5""")
-    + " SELECT cluster_id, cluster_id AS kept, count(*) AS members FROM comp GROUP BY cluster_id",
+    component_sql(TEXTS, f"SELECT id_a, id_b FROM jp UNION {COPIES}") + """ SELECT cluster_id, cluster_id AS kept, count(*) AS members FROM comp GROUP BY cluster_id""",
 )
 def d40c(spark, d):
-    """Groups of alike texts in linear work: bucket members are compared with the bucket's first only."""
-    docs = texts(spark, d)
-    sets = pr.text_sets(docs, "doc_id", "text")
-    edges = pr.verify_jaccard(lsh(spark, d), sets, 0.5).withColumnRenamed("similarity", "score")
-    return cl.clusters(edges).select("cluster_id", "kept", "members")
+    """The groups of d40_text_groups from LSH buckets: heads are verified, and what fails meets new heads."""
+    sets = pr.text_sets(texts(spark, d), "doc_id", "text")
+    links = pr.set_links(pr.distinct_sets(sets), 0.5).withColumnRenamed("similarity", "score")
+    return cl.clusters(links.unionByName(pr.set_copy_edges(sets))).select("cluster_id", "kept", "members")
 
 
 _AB = f"""(len(wa) = len(wb) AND (SELECT bool_and(starts_with(wa[i], wb[i]) OR starts_with(wb[i], wa[i])) FROM (SELECT unnest(range(1, len(wa) + 1)) AS i) r))

@@ -15,7 +15,7 @@ splits over several tasks.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +25,7 @@ from truegrain.functions import bands, text
 from truegrain.functions.hashing import row_digest
 from truegrain.functions.missing import all_of, ref
 from truegrain.functions.session import materialised, shuffle_width
+from truegrain.operators.cluster import components
 
 EPS = 1e-9
 
@@ -290,6 +291,70 @@ def lsh_pairs(buckets: DataFrame) -> DataFrame:
     )
 
 
+def set_buckets(sets: DataFrame, bands_: int, rows: int) -> DataFrame:
+    """(bucket, id, size) of sets (`id`, `tokens`): a 64-bit key per band of their MinHash signature."""
+    entries = sets.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    entries = entries.withColumn("h", F.pmod("token", F.lit(PRIME)))
+    mins = []
+    for i in range(bands_ * rows):
+        a, b = permutation(i)
+        mins.append(F.min((F.col("h") * F.lit(a).cast("bigint") + F.lit(b)) % F.lit(PRIME)).alias(f"m{i}"))
+    signature = entries.groupBy("id", "size").agg(*mins)
+    keys = [F.xxhash64(F.lit(k), *[f"m{i}" for i in range(k * rows, (k + 1) * rows)]) for k in range(bands_)]
+    return signature.select(F.explode(F.array(*keys)).alias("bucket"), "id", "size")
+
+
+def set_links(sets: DataFrame, threshold: float, bands_: int = 64, rows: int = 3) -> DataFrame:
+    """Verified links that tie similar distinct sets (`id`, `tokens`) into groups, by LSH with `bucket_links`.
+
+    With the default bands a pair of Jaccard similarity 0.5 shares none with a chance of 0.0002.
+    """
+    sets = materialised(sets.select("id", "tokens"))
+    return bucket_links(set_buckets(sets, bands_, rows), lambda pairs: verify_jaccard(pairs, sets, 0.0), threshold)
+
+
+def bucket_links(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, least: int = 3
+) -> DataFrame:
+    """Verified links (id_a < id_b, similarity) that tie alike members of the buckets into groups, without pairing up a bucket.
+
+    `members` has bucket, id, size (of the set that is compared); `verify` adds `similarity` to pairs of ids.
+    Each round gives every bucket a head, and the head meets the members of other groups there that are not
+    too small or large for the threshold: at most one pair per member and round. Groups are contracted
+    after each round, so members of one group never meet again, and a member that failed against a head
+    meets a new one. Heads are first the members that share most buckets, which in a family of edited
+    copies is mostly the text they come from, later others. It goes on until a round (from the
+    `least`-th on) ties nothing new; a link is lost only if both ends failed against all heads they met.
+    """
+    state = members.select("bucket", "id", "size")
+    n = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    state = materialised(state.join(n, "bucket"))
+    weight = state.groupBy("id").agg(F.sum("_n").alias("_w"))
+    state = materialised(state.drop("_n").join(weight, "id").select("bucket", "id", "size", "_w", F.col("id").alias("own"), F.lit(False).alias("headed")))
+    tested, k = None, 0
+    while True:
+        rank = F.struct("_w", "id") if k < 2 else F.struct(F.xxhash64("bucket", "id", F.lit(k)).alias("_w"), "id")
+        head = F.max_by(F.when(~F.col("headed"), F.struct("id", "own", "size")), F.struct(~F.col("headed"), rank)).alias("head")
+        heads = state.groupBy("bucket").agg(head, F.min("own").alias("_x"), F.max("own").alias("_y")).filter("_x < _y and head is not null").select("bucket", "head")
+        met = materialised(state.join(heads, "bucket"))
+        fits = F.least("size", "head.size") >= F.greatest("size", "head.size") * F.lit(threshold) - F.lit(EPS)
+        pairs = met.filter((F.col("own") != F.col("head.own")) & fits)
+        pairs = pairs.select(F.least("id", "head.id").alias("id_a"), F.greatest("id", "head.id").alias("id_b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested.select("id_a", "id_b"), ["id_a", "id_b"], "left_anti")
+        new = materialised(verify(pairs).select("id_a", "id_b", "similarity"))
+        tested = new if tested is None else tested.unionByName(new)
+        k += 1
+        links = tested.filter(F.col("similarity") >= threshold)
+        if new.filter(F.col("similarity") >= threshold).isEmpty() and k >= least or met.isEmpty():
+            return links
+        groups = components(links).select(F.col("member").alias("id"), F.col("cluster_id").alias("_g"))
+        left = met.join(groups, "id", "left").select(
+            "bucket", "id", "size", "_w", F.coalesce("_g", "id").alias("own"), (F.col("headed") | (F.col("id") == F.col("head.id"))).alias("headed")
+        )
+        state = materialised(left)
+
+
 # -- scored pairs -------------------------------------------------------------------
 
 
