@@ -314,45 +314,50 @@ def set_links(sets: DataFrame, threshold: float, bands_: int = 64, rows: int = 3
 
 
 def bucket_links(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, least: int = 3
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, heads: int = 4, patience: int = 2
 ) -> DataFrame:
     """Verified links (id_a < id_b, similarity) that tie alike members of the buckets into groups, without pairing up a bucket.
 
     `members` has bucket, id, size (of the set that is compared); `verify` adds `similarity` to pairs of ids.
-    Each round gives every bucket a head, and the head meets the members of other groups there that are not
-    too small or large for the threshold: at most one pair per member and round. Groups are contracted
-    after each round, so members of one group never meet again, and a member that failed against a head
-    meets a new one. Heads are first the members that share most buckets, which in a family of edited
-    copies is mostly the text they come from, later others. It goes on until a round (from the
-    `least`-th on) ties nothing new; a link is lost only if both ends failed against all heads they met.
+    Each round gives every bucket heads, first one, later up to `heads`, and a head meets the members of
+    other groups there that are not too small or large for the threshold: a fixed number of pairs per
+    member and round. Groups are contracted after each round, so members of one group never meet again, and
+    a member that failed against a head meets new ones. The first two heads are the members that share most
+    buckets, which in a family of edited copies is mostly the text they come from. It goes on until
+    `patience` rounds in a row tie nothing new anywhere. So a bucket of few members is compared as a
+    whole; in a large one a link can be lost only if neither end was a head in any bucket they share till then.
     """
     state = members.select("bucket", "id", "size")
     n = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     state = materialised(state.join(n, "bucket"))
     weight = state.groupBy("id").agg(F.sum("_n").alias("_w"))
-    state = materialised(state.drop("_n").join(weight, "id").select("bucket", "id", "size", "_w", F.col("id").alias("own"), F.lit(False).alias("headed")))
-    tested, k = None, 0
+    state = state.drop("_n").join(weight, "id").select("bucket", "id", "size", "_w", F.col("id").alias("own"), F.lit(False).alias("headed"))
+    tested, k, idle = None, 0, 0
     while True:
-        rank = F.struct("_w", "id") if k < 2 else F.struct(F.xxhash64("bucket", "id", F.lit(k)).alias("_w"), "id")
-        head = F.max_by(F.when(~F.col("headed"), F.struct("id", "own", "size")), F.struct(~F.col("headed"), rank)).alias("head")
-        heads = state.groupBy("bucket").agg(head, F.min("own").alias("_x"), F.max("own").alias("_y")).filter("_x < _y and head is not null").select("bucket", "head")
-        met = materialised(state.join(heads, "bucket"))
+        state = materialised(state)
+        several = state.groupBy("bucket").agg(F.min("own").alias("_x"), F.max("own").alias("_y")).filter("_x < _y").select("bucket")
+        state = materialised(state.join(several, "bucket"))
+        place = F.xxhash64("bucket", "id", F.lit(k))
+        rank, slot = (F.struct("_w", "id"), F.lit(0)) if k < 2 else (F.struct(place.alias("_w"), "id"), F.pmod(F.shiftright(place, 7), F.lit(heads)))
+        head = F.max_by(F.struct("id", "own", "size"), rank).alias("head")
+        chosen = materialised(state.filter("not headed").groupBy("bucket", slot.alias("slot")).agg(head))
         fits = F.least("size", "head.size") >= F.greatest("size", "head.size") * F.lit(threshold) - F.lit(EPS)
-        pairs = met.filter((F.col("own") != F.col("head.own")) & fits)
+        pairs = state.join(chosen, "bucket").filter((F.col("own") != F.col("head.own")) & fits)
         pairs = pairs.select(F.least("id", "head.id").alias("id_a"), F.greatest("id", "head.id").alias("id_b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("id_a", "id_b"), ["id_a", "id_b"], "left_anti")
         new = materialised(verify(pairs).select("id_a", "id_b", "similarity"))
         tested = new if tested is None else tested.unionByName(new)
-        k += 1
         links = tested.filter(F.col("similarity") >= threshold)
-        if new.filter(F.col("similarity") >= threshold).isEmpty() and k >= least or met.isEmpty():
+        idle = idle + 1 if new.filter(F.col("similarity") >= threshold).isEmpty() else 0
+        if idle == patience or chosen.isEmpty():
             return links
         groups = components(links).select(F.col("member").alias("id"), F.col("cluster_id").alias("_g"))
-        left = met.join(groups, "id", "left").select(
-            "bucket", "id", "size", "_w", F.coalesce("_g", "id").alias("own"), (F.col("headed") | (F.col("id") == F.col("head.id"))).alias("headed")
+        done = chosen.select("bucket", F.col("head.id").alias("id"), F.lit(True).alias("_done"))
+        state = state.join(groups, "id", "left").join(done, ["bucket", "id"], "left").select(
+            "bucket", "id", "size", "_w", F.coalesce("_g", "id").alias("own"), (F.col("headed") | F.coalesce("_done", F.lit(False))).alias("headed")
         )
-        state = materialised(left)
+        k += 1
 
 
 # -- scored pairs -------------------------------------------------------------------
