@@ -32,7 +32,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_minhash")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("content")
 
 
 @query("op2_pii")
