@@ -77,3 +77,13 @@ def test_odd_tables(spark):
     rows = [(1, "u", "same"), (1, "u", "same"), (None, "u", "same"), (None, None, None)]
     got = found(w.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).fillna(-1, ["page_id", "refers_to"]))
     assert [(a, d, e) for a, _, _, d, e in got] == [(-1, "response", -1), (-1, "revisit", 1), (1, "response", -1), (1, "response", -1)]
+
+
+def test_one_id_with_several_payloads(spark):
+    rows = [(1, "a"), (1, "bb"), (2, "a"), (3, "bb"), (4, "ccc")]
+    got = w.archive(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got) == [
+        (1, 1, "response", None), (1, 2, "response", None), (2, 1, "revisit", 1), (3, 2, "revisit", 1), (4, 3, "response", None)
+    ]
+    digest = {r.payload_bytes: r.payload_digest for r in got}
+    assert all(r.payload_digest == digest[r.payload_bytes] for r in got) and len(set(digest.values())) == 3

@@ -89,7 +89,7 @@ def _digest(block: bytes) -> tuple[int, str]:
 
 def _told(body: bytes) -> dict:
     """What the bytes between two magics say of the record that may begin with them."""
-    out = dict.fromkeys(("head", "length", "type", "id", "uri", "refers_to", "payload_bytes", "payload_digest"))
+    out = dict.fromkeys(("head", "length", "type", "id", "uri", "refers_to", "named_digest", "payload_bytes", "payload_digest"))
     head, found, rest = body.partition(END.encode())
     fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n") if ": " in x)
     length = _number(fields, "Content-Length")
@@ -97,12 +97,13 @@ def _told(body: bytes) -> dict:
         return out
     out |= {"head": len(head) + len(END), "length": length, "type": fields.get("WARC-Type"), "id": _number(fields, "WARC-Record-ID")}
     out |= {"uri": fields.get("WARC-Target-URI"), "refers_to": _number(fields, "WARC-Refers-To")}
+    out["named_digest"] = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
     if len(rest) >= length:
         out["payload_bytes"], out["payload_digest"] = _digest(rest[:length])
     return out
 
 
-TOLD = "head long, length long, type string, id long, uri string, refers_to long, payload_bytes long, payload_digest string"
+TOLD = "head long, length long, type string, id long, uri string, refers_to long, named_digest string, payload_bytes long, payload_digest string"
 
 
 def _numbered(keep: bool):
@@ -220,13 +221,13 @@ def _with_open(spark: SparkSession, path: str, marked: DataFrame, records: DataF
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under `path`: file, start, next, type, id, uri, refers_to, payload_bytes, payload_digest.
+    """Every record of the archives under `path`: file, start, next, type, id, uri, refers_to, named_digest, payload_bytes, payload_digest.
 
     Byte ranges are read in parallel. Offsets come from the sizes of the chunks: summed per range,
     then over the ranges of a file. Bytes that no chain from the start of a file reaches are payload
     or damaged, and give no record, nor does a record that its file ends within; a file that doesn't
     begin with a record gives none at all.
-    A revisit record has the length and digest of its own, empty payload here.
+    A revisit record has the length and digest of its own, empty payload here; named_digest is the one in its header.
     """
     told = materialised(chunks(spark, path))
     ranges = told.groupBy("file", "range").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
@@ -242,13 +243,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     flagged = rows.drop("leaves").join(entries, ["file", "start"], "left").fillna(False, ["entry"])
     marked = materialised(flagged.groupBy("file", "range").applyInPandas(_marked, f"{schema}, record long"))
     records = marked.filter("record = start and length is not null")
-    return _with_open(spark, path, marked, records).select("file", "start", "next", "type", "id", "uri", "refers_to", "payload_bytes", "payload_digest")
+    return _with_open(spark, path, marked, records).select("file", "start", "next", "type", "id", "uri", "refers_to", "named_digest", "payload_bytes", "payload_digest")
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, file, start: revisits with the payload they refer to."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, file, start: revisits with the payload they refer to.
+
+    A revisit means the record of the id and of the digest that its header names, so ids may repeat.
+    """
     first = records.filter("type = 'response'").groupBy(F.col("id").alias("of"), F.col("payload_digest").alias("digest")).agg(F.first("payload_bytes").alias("n"))
-    again = records.filter("type = 'revisit'").join(first, F.col("refers_to") == F.col("of"), "left")
+    again = records.filter("type = 'revisit'").join(first, (F.col("refers_to") == F.col("of")) & (F.col("named_digest") == F.col("digest")), "left")
     again = again.withColumns({"payload_bytes": F.col("n"), "payload_digest": F.col("digest")}).drop("of", "n", "digest")
     return records.filter("type = 'response'").unionByName(again).select(
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "file", "start"
