@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from truegrain.llm.common import pieces, text_bytes
 
 #: Bytes of text whose distinct words are encoded together, and symbols in the trees of one step.
-PART, SYMBOLS = 8 << 20, 4 << 20
+PART, SYMBOLS = 8 << 20, 1 << 20
 NONE = np.int64(2**62)
 #: White space of the tokenizer's patterns, as a character class.
 WHITE = r"\t-\r\x20\x85\xA0  -     　"
@@ -260,7 +260,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "tex
 
 def token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids: as encoded(), without the decoded text."""
-    return _mapped(docs, path, id_col, text, _ids, ["n_tokens", "ids"], [pa.int64(), pa.list_(pa.int32())], PART // 4)
+    return _mapped(docs, path, id_col, text, _ids, ["n_tokens", "ids"], [pa.int64(), pa.list_(pa.int32())], PART // 8)
 
 
 def encoded_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:

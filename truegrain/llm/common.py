@@ -45,14 +45,23 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            size = max(n, 1 << 20)
-            up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-            up[0] = down[0] = 1
-            _powers[:] = [np.cumprod(up), np.cumprod(down)]
-    return _powers[0], _powers[1]
+#: Entries of the tables of powers that a worker keeps; longer ones are made for one text and freed.
+_KEPT = 1 << 19
+
+
+def _powers_of(n: int) -> list[np.ndarray]:
+    with np.errstate(over="ignore"):
+        up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+        up[0] = down[0] = 1
+        return [np.cumprod(up), np.cumprod(down)]
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    if n > _KEPT:
+        return _powers_of(n)
+    if not _powers:
+        _powers[:] = _powers_of(_KEPT)
+    return _powers
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

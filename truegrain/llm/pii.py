@@ -32,7 +32,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 
 #: Tokens of a candidate span at most, texts of the training sample, weight of a margin for adding a span.
 LONGEST, SAMPLE, MARGIN = 12, 2000, 2.0
-PART = 4 << 20
+PART = 1 << 19
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _AT = np.zeros(256, bool)
