@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from truegrain.operators import compare, duplicates, keys, resolve
 from truegrain.plans import reports
 
@@ -113,10 +115,41 @@ def test_minimal_keys_against_brute_force(spark):
         for s in combinations("abcd", w):
             if not any(set(k) <= set(s) for k in want) and len({tuple(r["abcde".index(x)] for x in s) for r in data}) == 80:
                 want.append(s)
-    # a tiny look at the first rows must not change the outcome
-    for look in (1, 10, 1000):
-        got = {r.key_columns for r in keys.minimal_keys(df, witness_rows=look).collect()}
+    # how rows lie in partitions says which agreements are seen, and must not change the outcome
+    for parts in (1, 7, 60):
+        got = {r.key_columns for r in keys.minimal_keys(df.repartition(parts)).collect()}
         assert got == {",".join(s) for s in want}
+    assert keys.minimal_keys(df.select("e")).collect() == []
+
+
+def test_minimal_keys_take_few_jobs_and_no_expand(spark):
+    df = spark.range(500).select(*[(F.col("id") * (7 + i) % (11 + i)).alias(f"c{i:02d}") for i in range(14)], F.lit(None).cast("int").alias("gap"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("minimal keys", "")
+    got = [r.key_columns for r in keys.minimal_keys(df).collect()]
+    jobs = len(tracker.getJobIdsForGroup("minimal keys"))
+    spark.sparkContext.setJobGroup("", "")
+    rows = [tuple(r) for r in df.drop("gap").collect()]
+    from itertools import combinations
+
+    want = []
+    for w in (1, 2, 3):
+        for s in combinations(range(14), w):
+            if not any(set(k) <= set(s) for k in want) and len({tuple(r[x] for x in s) for r in rows}) == 500:
+                want.append(s)
+    assert got == [",".join(f"c{x:02d}" for x in s) for s in want]
+    assert jobs < 30  # 469 sets
+
+
+def test_field_contribution_against_plain_counts(spark):
+    rng = random.Random(2)
+    data = [(rng.choice([None, 1, 2]), rng.choice(["a", None, ""]), rng.choice([0.0, -0.0, 1.5])) for _ in range(60)]
+    df = spark.createDataFrame(data, "x int, y string, z double")
+    got = {r.column_name: (r.distinct_values, r.rows_merged_without) for r in duplicates.field_contribution(df).collect()}
+    whole = len(set(data))
+    assert got == {c: (len({r[i] for r in data}), whole - len({r[:i] + r[i + 1 :] for r in data})) for i, c in enumerate("xyz")}
+    assert "Expand" not in duplicates.field_contribution(df)._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in duplicates.field_contribution(df.limit(0)).collect()] == [(c, 0, None, 0) for c in "xyz"]
 
 
 def test_temporal_window_edges(spark):

@@ -69,3 +69,15 @@ def group_key(df: DataFrame, cols: Sequence[str] | None = None) -> list[Column]:
     if len(names) <= 4 and all(isinstance(types[c], _NARROW) for c in names):
         return [canonical(ref(c), types[c]).alias(f"_k{i}") for i, c in enumerate(names)]
     return [row_digest(df, names).alias("_k0")]
+
+
+def cell_hashes(df: DataFrame, cols: Sequence[str] | None = None) -> list[tuple[Column, Column]]:
+    """Two 64-bit hashes of each cell, which tell its column and nulls apart.
+
+    A row, or any choice of its columns, is named by the exclusive or of its cells' hashes: taking a
+    column out is one more exclusive or, and no row is digested once per choice.
+    """
+    out = []
+    for i, c in enumerate(canonical_columns(df, cols)):
+        out.append(tuple(F.xxhash64(F.lit(2 * i + k), c.isNull(), c) for k in (0, 1)))
+    return out

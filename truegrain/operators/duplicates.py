@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from truegrain.functions.hashing import canonical_columns, group_key, row_digest, row_json
+from truegrain.functions.hashing import canonical_columns, cell_hashes, group_key, row_digest, row_json
 from truegrain.functions.missing import missing_count, missing_tests, ref
 from truegrain.operators.rows import STRETCH, section_of, with_previous
 
@@ -216,29 +216,44 @@ def duplicates_by_section(df: DataFrame, index: str, cols: Sequence[str] | None
 
 
 def field_contribution(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Per column: repeat rate, and how many more rows would be duplicates without the column."""
+    """Per column: repeat rate, and how many more rows would be duplicates without the column.
+
+    A row's hash is the exclusive or of its cells', so the row without a column is one operation more.
+    What is counted is one long table of (what, hash), in which equal entries are merged before they are
+    shuffled; an empty table gives zeros and a null rate.
+    """
     names = list(cols or df.columns)
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct(row_digest(df, names)).alias("whole"),
-        *[F.count_distinct(F.struct(c)).alias(f"d{i}") for i, c in enumerate(canonical_columns(df, names))],
-        *[
-            F.count_distinct(row_digest(df, [x for x in names if x != c])).alias(f"w{i}")
-            for i, c in enumerate(names)
-            if len(names) > 1
-        ],
-    )
-    without = [F.col(f"w{i}") if len(names) > 1 else F.lit(1).cast("bigint") for i in range(len(names))]
-    cells = [
+    n = len(names)
+    lanes = [f"{x}{i}" for i in range(n) for x in "ab"]
+    cells = df.select(*[c.alias(f"{x}{i}") for i, pair in enumerate(cell_hashes(df, names)) for x, c in zip("ab", pair)])
+
+    def whole(x: str) -> Column:
+        out = F.col(f"{x}0")
+        for i in range(1, n):
+            out = out.bitwiseXOR(F.col(f"{x}{i}"))
+        return out
+
+    rows = cells.select(*lanes, whole("a").alias("a"), whole("b").alias("b"))
+    # 0 .. n-1: the cell of a column; n .. 2n-1: the row without it; 2n: the row
+    kinds = [F.struct(F.lit(i).alias("what"), F.col(f"a{i}").alias("x"), F.col(f"b{i}").alias("y")) for i in range(n)]
+    if n > 1:
+        kinds += [F.struct(F.lit(n + i).alias("what"), F.col("a").bitwiseXOR(F.col(f"a{i}")).alias("x"), F.col("b").bitwiseXOR(F.col(f"b{i}")).alias("y")) for i in range(n)]
+    kinds.append(F.struct(F.lit(2 * n).alias("what"), F.col("a").alias("x"), F.col("b").alias("y")))
+    groups = rows.select(F.inline(F.array(*kinds))).groupBy("what", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    counts = groups.groupBy("what").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n"))
+    per = counts.agg(F.map_from_entries(F.collect_list(F.struct("what", "d"))).alias("d"), F.coalesce(F.max("n"), F.lit(0)).alias("rows"))
+    of = lambda k: F.coalesce(F.try_element_at("d", F.lit(k)), F.lit(0)).cast("bigint")
+    without = lambda i: of(n + i) if n > 1 else F.least(F.col("rows"), F.lit(1)).cast("bigint")
+    told = [
         F.struct(
             F.lit(c).alias("column_name"),
-            F.col(f"d{i}").alias("distinct_values"),
-            (F.lit(1.0) - F.try_divide(F.col(f"d{i}").cast("double"), F.col("rows").cast("double"))).alias("repeat_rate"),
-            (F.col("whole") - without[i]).alias("rows_merged_without"),
+            of(i).alias("distinct_values"),
+            (F.lit(1.0) - F.try_divide(of(i).cast("double"), F.col("rows").cast("double"))).alias("repeat_rate"),
+            (of(2 * n) - without(i)).alias("rows_merged_without"),
         )
         for i, c in enumerate(names)
     ]
-    return row.select(F.inline(F.array(*cells)))
+    return per.select(F.inline(F.array(*told)))
 
 
 def null_patterns_in_duplicates(

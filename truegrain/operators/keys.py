@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from truegrain.functions.hashing import canonical, canonical_columns
+from truegrain.functions.hashing import canonical, canonical_columns, cell_hashes
 from truegrain.functions.missing import any_of, missing_tests, ref
+from truegrain.functions.session import materialised
 
 KEY_HINT = re.compile(r"(^|_)(id|key|code|number|no|num|sku|uuid)$|(id|key|code|number)$", re.I)
-WITNESS_ROWS = 200_000
 
 
 def candidate_keys(df: DataFrame, cols: Sequence[str] | None = None, sentinels: Iterable[str] = ()) -> DataFrame:
@@ -45,46 +47,75 @@ def candidate_keys(df: DataFrame, cols: Sequence[str] | None = None, sentinels:
     )
 
 
+def _agreements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bit masks of the columns in which two rows of a batch are equal, for neighbours in the order of each column.
+
+    Only masks within no other are told, so what leaves a batch is small.
+    """
+    for b in batches:
+        cells = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1) if b.num_rows else np.zeros((0, 1), np.int64)
+        seen: set[int] = set()
+        for k in range(cells.shape[1]):
+            order = cells[np.argsort(cells[:, k], kind="stable")]
+            same = order[1:] == order[:-1]
+            seen.update(np.unique((same[same[:, k]].astype(np.int64) << np.arange(cells.shape[1])).sum(1)).tolist())
+        most = [m for m in seen if m and not any(m != o and m & o == m for o in seen)]
+        if most:
+            yield pa.RecordBatch.from_arrays([pa.array(most, pa.int64())], ["mask"])
+
+
 def minimal_keys(
     df: DataFrame,
     cols: Sequence[str] | None = None,
     max_width: int = 3,
-    witness_rows: int = WITNESS_ROWS,
     sentinels: Iterable[str] = (),
 ) -> DataFrame:
     """Minimal column sets (up to max_width) that identify every row and hold no missing value.
 
-    Level by level, leaving out supersets of keys already found. A set with a repeat among any
-    rows is no key, so a bounded look at the first rows refutes most sets; that is proof, not
-    estimate. The sets left are counted exactly over all rows, one aggregate per level.
+    Two rows that agree in some columns prove that no subset of these is a key. Such agreements are
+    gathered over all rows, where they lie, from neighbours in the order of each column; they refute most
+    sets. The others are tried level by level, without supersets of keys already found: all sets of a
+    level in one job, in which a row is one 128-bit hash per set. At most 62 columns.
     """
     spark = df.sparkSession
     names = list(cols or df.columns)
-    types = {f.name: f.dataType for f in df.schema.fields}
     tests = missing_tests(df, names, sentinels)
     gaps = df.agg(*[F.count_if(t).alias(f"m{i}") for i, t in enumerate(tests.values())]).first()
     names = sorted(c for i, c in enumerate(names) if gaps[f"m{i}"] == 0)
-    canon = df.select(*[canonical(ref(c), types[c]).alias(c) for c in names])
-    look = canon.limit(witness_rows)
+    if len(names) > 62:
+        raise ValueError(f"{len(names)} columns without gaps; choose at most 62")
     found: list[tuple[str, ...]] = []
+    schema = "key_columns string, width bigint"
+    if not names:
+        return spark.createDataFrame([], schema)
+    cells = cell_hashes(df, names)
+    lanes = materialised(df.select(*[c.alias(f"{x}{i}") for i, pair in enumerate(cells) for x, c in zip("ab", pair)]))
+    masks = lanes.select(*[f"a{i}" for i in range(len(names))]).mapInArrow(_agreements, "mask long").distinct()
+    # at most as many as there are sets of columns, and few in practice
+    agreed = [r.mask for r in masks.collect()]
+    bit = {c: 1 << i for i, c in enumerate(names)}
     for width in range(1, max_width + 1):
         sets = [s for s in combinations(names, width) if not any(set(k) <= set(s) for k in found)]
-        sets = _unique_sets(look, sets)
-        found += _unique_sets(canon, sets)
-    schema = "key_columns string, width bigint"
+        left = [s for s in sets if not any((m := sum(bit[c] for c in s)) & a == m for a in agreed)]
+        found += _unique_sets(lanes, [[names.index(c) for c in s] for s in left], left)
     return spark.createDataFrame([(",".join(k), len(k)) for k in found], schema)
 
 
-def _unique_sets(df: DataFrame, sets: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
-    out: list[tuple[str, ...]] = []
-    for k in range(0, len(sets), 20):
-        chunk = sets[k : k + 20]
-        row = df.agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.count_distinct(*[ref(c) for c in s]).alias(f"d{i}") for i, s in enumerate(chunk)],
-        ).first()
-        out += [s for i, s in enumerate(chunk) if row[f"d{i}"] == row["n"]]
-    return out
+def _unique_sets(lanes: DataFrame, places: Sequence[Sequence[int]], sets: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """The sets under which no two rows are equal: one job for all of them."""
+    if not sets:
+        return []
+
+    def of(x: str, some: Sequence[int]) -> Column:
+        out = F.col(f"{x}{some[0]}")
+        for i in some[1:]:
+            out = out.bitwiseXOR(F.col(f"{x}{i}"))
+        return out
+
+    named = [F.struct(F.lit(k).alias("s"), of("a", some).alias("x"), of("b", some).alias("y")) for k, some in enumerate(places)]
+    rows = lanes.select(F.inline(F.array(*named))).groupBy("s", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    repeated = {r.s for r in rows.filter("n > 1").select("s").distinct().collect()}
+    return [s for k, s in enumerate(sets) if k not in repeated]
 
 
 def key_violations(df: DataFrame, key: Sequence[str], sentinels: Iterable[str] = ()) -> DataFrame:
