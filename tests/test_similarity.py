@@ -253,3 +253,22 @@ def test_set_links_give_the_groups_of_all_pairs(spark):
     sets = spark.createDataFrame(rows, "id long, tokens array<long>")
     group = lambda links: {r.member: r.cluster_id for r in components(links).collect()}
     assert group(set_links(sets, 0.5)) == group(jaccard_pairs(sets, 0.5))
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.5, 0.8, 1.0])
+def test_jaccard_candidates_lose_nothing(spark, threshold):
+    import random
+
+    from truegrain.operators.pairs import jaccard_candidates, jaccard_pairs
+
+    rng = random.Random(7)
+    rows = [(i, sorted({min(int(rng.expovariate(0.05)), 90) for _ in range(rng.randrange(1, 40))})) for i in range(160)]
+    sets = spark.createDataFrame(rows, "id long, tokens array<long>")
+    want = set()
+    for i, a in rows:
+        for j, b in rows[:i]:
+            both = len(set(a) & set(b))
+            if both / (len(a) + len(b) - both) >= threshold:
+                want.add((j, i))
+    assert {(r.id_a, r.id_b) for r in jaccard_pairs(sets, threshold).collect()} == want
+    assert want <= {(r.id_a, r.id_b) for r in jaccard_candidates(sets, threshold).collect()}

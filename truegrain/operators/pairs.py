@@ -15,6 +15,7 @@ splits over several tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -192,12 +193,16 @@ def set_copy_edges(sets: DataFrame) -> DataFrame:
     return keyed.join(heads, "set_key").filter("id_a <> id_b").select("id_a", "id_b", F.lit(1.0).alias("score"))
 
 
-def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of sets (`id`, `tokens`) whose Jaccard similarity reaches the threshold.
+def jaccard_candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """id_a < id_b: the pairs of sets (`id`, `tokens`) that may reach the threshold, none that does left out.
 
     Tokens are ranked from rare to frequent inside each set; two sets that are similar enough
     share one of their first n - ceil(t*n) + 1. Tokens that occur once come first in that order
     and can match nothing, so they are only counted, never shuffled.
+
+    Of two sets the shorter one has at least t times the length of the other, so lengths are cut into classes of
+    a factor 1/t and the class is part of the key: a frequent token meets only two classes. What stands behind
+    the first shared token bounds the overlap, and pairs whose bound is too small are dropped where they meet.
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("the threshold lies above 0 and at most at 1")
@@ -211,18 +216,24 @@ def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
         }
     )
     need = F.ceil(F.col("n") * F.lit(threshold) - F.lit(EPS))
-    prefix = ranked.filter(F.col("n") - F.col("shared") + F.col("r") <= F.col("n") - need + 1).select("id", "n", "token")
+    place = F.col("n") - F.col("shared") + F.col("r")
+    step = math.log(1.0 / threshold) if threshold < 1.0 else 1.0
+    prefix = ranked.filter(place <= F.col("n") - need + 1).select("id", "n", "token", (F.col("n") - place).alias("rest"), F.floor(F.log("n") / F.lit(step) + F.lit(EPS)).alias("c"))
     prefix = materialised(prefix)  # both sides of the join below
-    a = prefix.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "token")
-    b = prefix.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "token")
-    shorter, longer = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    candidates = (
-        a.join(b, "token")
-        .filter((F.col("id_a") < F.col("id_b")) & (shorter >= longer * F.lit(threshold) - F.lit(EPS)))
-        .select("id_a", "id_b")
-        .distinct()
-    )
-    return verify_jaccard(candidates, sets, threshold)
+    # x is the shorter set, or of equal lengths the one with the smaller id
+    x = prefix.select("token", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("rest").alias("rest_x"), F.explode(F.sequence(F.col("c"), F.col("c") + 1)).alias("c"))
+    y = prefix.select("token", "c", F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("rest").alias("rest_y"))
+    both = x.join(y, ["token", "c"])
+    ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y")))
+    fits = F.col("n_x") >= F.col("n_y") * F.lit(threshold) - F.lit(EPS)
+    least = (F.col("n_x") + F.col("n_y")) * F.lit(threshold / (1.0 + threshold)) - F.lit(EPS)
+    reach = F.least("rest_x", "rest_y") + 1 >= least
+    return both.filter(ordered & fits & reach).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of sets (`id`, `tokens`) whose Jaccard similarity reaches the threshold, with `similarity`."""
+    return verify_jaccard(jaccard_candidates(sets, threshold), sets, threshold)
 
 
 def verify_jaccard(candidates: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
