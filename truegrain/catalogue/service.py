@@ -498,6 +498,42 @@ def t03(spark, d):
     return streams.as_batch(lambda s, c: streams.process_new(out, s, c), spark, scratch_path(spark, "t03"))
 
 
+# Three arrivals: most rows, the latest among them; recent rows, some of them sent again; then stragglers of any age.
+_LATE = "event_id % 10 = 0 AND ts < m AND epoch_ms(ts) <= epoch_ms(m) - 21600000"
+
+
+def _arrivals(spark, d):
+    """event_id of the stream's result after all arrivals, and the late rows of each run."""
+    e = fx.table(spark, d, "events").select("event_id", "ts")
+    last = e.agg(F.max("ts")).scalar()
+    straggler = (F.col("event_id") % 10 == 0) & (F.col("ts") < last)
+    recent = (F.col("ts") > last - F.expr("INTERVAL '6' HOUR")) & (F.col("ts") < last)
+    held = (F.col("event_id") % 10 == 9) & recent
+    base = scratch_path(spark, "arrivals")
+    runs = []
+    for rows in (e.filter(~straggler & ~held), e.filter(held | (recent & (F.col("event_id") % 10 == 1))), e.filter(straggler)):
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = streams.distinct_stream(streams.new_files(spark, f"{base}/in", "parquet", e.schema), ["event_id"], "ts", "6 hours")
+        runs.append(streams.process_new(stream, f"{base}/sink", f"{base}/checkpoint"))
+    return spark.read.parquet(f"{base}/sink"), runs
+
+
+@query("t03_late_arrivals", f"SELECT event_id FROM (SELECT *, max(ts) OVER () AS m FROM events) e WHERE NOT ({_LATE})")
+def t03_late(spark, d):
+    """Rows sent again are dropped while their key is remembered, rows behind the watermark for good."""
+    return _arrivals(spark, d)[0].select("event_id")
+
+
+@query(
+    "t03_late_counts",
+    f"""SELECT 3 AS run, count(*) AS late_rows FROM (SELECT *, max(ts) OVER () AS m FROM events) e WHERE {_LATE}
+    UNION ALL SELECT 1, 0 UNION ALL SELECT 2, 0""",
+)
+def t03_counts(spark, d):
+    runs = _arrivals(spark, d)[1]
+    return spark.createDataFrame([(k + 1, r["late_rows"]) for k, r in enumerate(runs)], "run int, late_rows bigint")
+
+
 @query(
     "t04_completeness_stream",
     """WITH e AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS w, (event_id % 3 = 0)::INT + (event_id % 4 = 1)::INT AS m FROM events)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from truegrain.functions.hashing import canonical
+from truegrain.functions.session import materialised
 from truegrain.functions.missing import missing_tests, ref
 
 PAIRS_PER_PASS = 2000
@@ -156,30 +158,21 @@ def missing_mechanism(
             )
         stat = row.select(F.inline(F.array(*cells)))
         parts.append(stat.withColumn("significant", F.coalesce(F.abs("statistic") > numeric_z, F.lit(False))))
-    for d in other:
-        # Counts per driver value: the contingency table is built with partial aggregation.
-        table = (
-            df.filter(~tests[d])
-            .groupBy(ref(d).alias("v"))
-            .agg(F.count(F.lit(1)).alias("n"), F.count_if(gone).alias("m"))
-        )
-        tot = table.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("k"))
-        whole = tot.select(F.struct("n", "m", "k").alias("t")).scalar()
-        expected = F.col("n") * whole["m"] / whole["n"]
-        rest = F.col("n") * (whole["n"] - whole["m"]) / whole["n"]
+    if other:
+        # all contingency tables in one pass: a row per driver and value, merged before they are shuffled
+        cells = [F.struct(F.lit(i).alias("i"), F.when(~tests[d], F.to_json(F.struct(canonical(ref(d), types[d]).alias("v")))).alias("v")) for i, d in enumerate(other)]
+        counted = df.select(gone.alias("gone"), F.inline(F.array(*cells))).filter("v is not null")
+        table = materialised(counted.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"), F.count_if("gone").alias("m")))
+        whole = table.groupBy("i").agg(F.sum("n").alias("all_n"), F.sum("m").alias("all_m"), F.count(F.lit(1)).alias("k"))
+        expected = F.col("n") * F.col("all_m") / F.col("all_n")
+        rest = F.col("n") * (F.col("all_n") - F.col("all_m")) / F.col("all_n")
         diff = F.col("m") - expected
-        chi = table.agg(
-            F.sum(F.try_divide(diff * diff, expected) + F.try_divide(diff * diff, rest)).alias("statistic")
-        )
-        dof = F.greatest(whole["k"] - 1, F.lit(1))
-        parts.append(
-            chi.select(F.lit(d).alias("driver"), F.lit("chi_square").alias("test"), "statistic").withColumn(
-                "significant",
-                F.coalesce(
-                    F.sqrt(2 * F.col("statistic")) - F.sqrt(2.0 * dof - 1) > chi_z, F.lit(False)
-                ),
-            )
-        )
+        per = table.join(whole, "i").groupBy("i", "k").agg(F.sum(F.try_divide(diff * diff, expected) + F.try_divide(diff * diff, rest)).alias("statistic"))
+        # a driver without any value keeps its row
+        every = df.sparkSession.createDataFrame([(i, d) for i, d in enumerate(other)], "i int, driver string").join(per, "i", "left")
+        dof = F.greatest(F.coalesce("k", F.lit(0)) - 1, F.lit(1))
+        over = F.sqrt(2 * F.col("statistic")) - F.sqrt(2.0 * dof - 1) > chi_z
+        parts.append(every.select("driver", F.lit("chi_square").alias("test"), "statistic", F.coalesce(over, F.lit(False)).alias("significant")))
     if not parts:
         raise ValueError("no driver columns to test against")
     out = parts[0]

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from threading import Event
+from uuid import UUID
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from truegrain.functions.missing import missing_count, missing_tests, ref
 from truegrain.operators.rows import flag_rows
@@ -38,17 +41,57 @@ def new_files(
     return reader.load(folder)
 
 
-def process_new(stream: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet") -> None:
-    """Process what has arrived since the last run, append it to the sink, and stop."""
-    q = (
-        stream.writeStream.format(fmt)
-        .option("path", sink)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+class _Counts(StreamingQueryListener):
+    """Adds up what the progress of one query reports; batches are counted as they end, however many there are."""
+
+    def __init__(self) -> None:
+        self.query, self.ended = None, Event()
+        self.waiting: list = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.waiting.append((p.runId, p.numInputRows, sum(s.numRowsDroppedByWatermark for s in p.stateOperators)))
+
+    def onQueryTerminated(self, event) -> None:
+        if event.runId == self.query:
+            self.ended.set()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def of(self, run) -> dict[str, int]:
+        mine = [w for w in self.waiting if w[0] == run]
+        return {"batches": len(mine), "input_rows": sum(w[1] for w in mine), "late_rows": sum(w[2] for w in mine)}
+
+
+def process_new(stream: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet") -> dict[str, int]:
+    """Process what has arrived since the last run, append it to the sink, and stop.
+
+    Returns batches, input_rows and late_rows of the run; late rows are those that a stateful step dropped
+    because they came after the watermark, which earlier runs of the checkpoint have set.
+    """
+    counts = _Counts()
+    spark = stream.sparkSession
+    spark.streams.addListener(counts)
+    try:
+        q = (
+            stream.writeStream.format(fmt)
+            .option("path", sink)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        counts.query = q.runId if isinstance(q.runId, UUID) else UUID(str(q.runId))
+        q.awaitTermination()
+        # events of a query arrive in order, the end last; one that was over before its id was known is waited for shortly
+        counts.ended.wait(10)
+    finally:
+        spark.streams.removeListener(counts)
+    return counts.of(counts.query)
 
 
 def flag_stream(stream: DataFrame, critical_cols: Sequence[str] | None = None, cols: Sequence[str] | None = None) -> DataFrame:
@@ -59,7 +102,7 @@ def flag_stream(stream: DataFrame, critical_cols: Sequence[str] | None = None, c
 def distinct_stream(stream: DataFrame, keys: Sequence[str], ts: str, delay: str = "1 hour") -> DataFrame:
     """First row per key; a key is remembered for at least `delay` of event time, which bounds the state.
 
-    Rows that arrive later than the watermark are dropped; the stream's progress counts them.
+    Rows that arrive later than the watermark are dropped; `process_new` counts them.
     """
     timed = stream.withColumn("_event_time", ref(ts).cast("timestamp"))
     return timed.withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(list(keys)).drop("_event_time")
