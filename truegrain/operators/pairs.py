@@ -343,31 +343,40 @@ def bucket_links(
     state = materialised(state.join(n, "bucket"))
     weight = state.groupBy("id").agg(F.sum("_n").alias("_w"))
     state = state.drop("_n").join(weight, "id").select("bucket", "id", "size", "_w", F.col("id").alias("own"), F.lit(False).alias("headed"))
+    state = materialised(state)
     tested, k, idle = None, 0, 0
     while True:
-        state = materialised(state)
-        several = state.groupBy("bucket").agg(F.min("own").alias("_x"), F.max("own").alias("_y")).filter("_x < _y").select("bucket")
-        state = materialised(state.join(several, "bucket"))
         place = F.xxhash64("bucket", "id", F.lit(k))
         rank, slot = (F.struct("_w", "id"), F.lit(0)) if k < 2 else (F.struct(place.alias("_w"), "id"), F.pmod(F.shiftright(place, 7), F.lit(heads)))
         head = F.max_by(F.struct("id", "own", "size"), rank).alias("head")
         chosen = materialised(state.filter("not headed").groupBy("bucket", slot.alias("slot")).agg(head))
         fits = F.least("size", "head.size") >= F.greatest("size", "head.size") * F.lit(threshold) - F.lit(EPS)
-        pairs = state.join(chosen, "bucket").filter((F.col("own") != F.col("head.own")) & fits)
-        pairs = pairs.select(F.least("id", "head.id").alias("id_a"), F.greatest("id", "head.id").alias("id_b")).distinct()
+        met = state.join(chosen, "bucket").filter((F.col("own") != F.col("head.own")) & fits)
+        ends = F.when(F.col("id") < F.col("head.id"), F.struct(F.col("own").alias("own_a"), F.col("head.own").alias("own_b")))
+        ends = ends.otherwise(F.struct(F.col("head.own").alias("own_a"), F.col("own").alias("own_b")))
+        # of one pair the groups are the same wherever it is met
+        pairs = met.groupBy(F.least("id", "head.id").alias("id_a"), F.greatest("id", "head.id").alias("id_b")).agg(F.any_value(ends).alias("ends"))
         if tested is not None:
             pairs = pairs.join(tested.select("id_a", "id_b"), ["id_a", "id_b"], "left_anti")
-        new = materialised(verify(pairs).select("id_a", "id_b", "similarity"))
+        pairs = materialised(pairs)
+        new = materialised(verify(pairs.select("id_a", "id_b")).select("id_a", "id_b", "similarity"))
         tested = new if tested is None else tested.unionByName(new)
-        links = tested.filter(F.col("similarity") >= threshold)
-        idle = idle + 1 if new.filter(F.col("similarity") >= threshold).isEmpty() else 0
+        near = new.filter(F.col("similarity") >= threshold)
+        idle = idle + 1 if near.isEmpty() else 0
         if idle == patience or chosen.isEmpty():
-            return links
-        groups = components(links).select(F.col("member").alias("id"), F.col("cluster_id").alias("_g"))
+            return tested.filter(F.col("similarity") >= threshold)
         done = chosen.select("bucket", F.col("head.id").alias("id"), F.lit(True).alias("_done"))
-        state = state.join(groups, "id", "left").join(done, ["bucket", "id"], "left").select(
-            "bucket", "id", "size", "_w", F.coalesce("_g", "id").alias("own"), (F.col("headed") | F.coalesce("_done", F.lit(False))).alias("headed")
-        )
+        headed = (F.col("headed") | F.coalesce("_done", F.lit(False))).alias("headed")
+        state = state.join(done, ["bucket", "id"], "left").select("bucket", "id", "size", "_w", "own", headed)
+        if not idle:
+            # only groups that a new link ties change their names
+            tied = near.join(pairs, ["id_a", "id_b"]).select("ends.own_a", "ends.own_b")
+            groups = components(tied, "own_a", "own_b").select(F.col("member").alias("own"), F.col("cluster_id").alias("_g"))
+            state = state.join(groups, "own", "left").select("bucket", "id", "size", "_w", F.coalesce("_g", "own").alias("own"), "headed")
+            state = materialised(state)
+            several = state.groupBy("bucket").agg(F.min("own").alias("_x"), F.max("own").alias("_y")).filter("_x < _y").select("bucket")
+            state = state.join(several, "bucket")
+        state = materialised(state)
         k += 1
 
 
