@@ -95,13 +95,13 @@ def test_runs_across_stretches(spark, stretch):
     assert p["gaps"] == 3 and p["dominant_gap"] == 4
 
 
-@pytest.mark.parametrize("stretch", [1, 2, 5, 100])
-def test_forward_fill_over_stretches(spark, stretch):
+@pytest.mark.parametrize("width", [1, 3, 9])
+def test_forward_fill_over_segments(spark, width):
     values = [None, 3, None, None, None, 7, None, None]
     df = spark.createDataFrame(
         [(g, i, v) for g in ("x", None) for i, v in enumerate(values)], "g string, i long, v int"
     )
-    got = treatment.ffill(df, ["v"], "i", ["g"], stretch).orderBy("g", "i").collect()
+    got = treatment.ffill(df, ["v"], "i", ["g"], width=width).orderBy("g", "i").collect()
     assert [r.v for r in got] == [None, 3, 3, 3, 3, 7, 7, 7] * 2
 
 

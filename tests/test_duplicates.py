@@ -158,8 +158,9 @@ def test_temporal_window_edges(spark):
         "(3, 'k', TIMESTAMP_NTZ'2024-01-01 01:00:20'), (4, 'k', TIMESTAMP_NTZ'1969-12-31 23:59:55'), (5, 'k', TIMESTAMP_NTZ'1970-01-01 00:00:05'), "
         "(6, 'z', TIMESTAMP_NTZ'2024-01-01 01:00:00') AS t(id, k, ts)"
     )
-    got = {r.id: r.previous_row for r in keys.temporal_duplicates(df, ["k"], "ts", 10, "id").collect()}
-    assert got == {2: 1, 5: 4}
+    for width in (1, 4):
+        got = {r.id: r.previous_row for r in keys.temporal_duplicates(df, ["k"], "ts", 10, "id", width).collect()}
+        assert got == {2: 1, 5: 4}
 
 
 def test_domain_keys():

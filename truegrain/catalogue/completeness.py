@@ -522,7 +522,18 @@ def q37(spark, d):
 )
 def q38(spark, d):
     df = dirty(spark, d).select("rid", (F.col("rid") % 7).alias("grp"), "bal", "nm")
-    return treatment.ffill(df, ["bal", "nm"], "rid", ["grp"], stretch=50)
+    return treatment.ffill(df, ["bal", "nm"], "rid", ["grp"])
+
+
+@query(
+    "q38_forward_fill_by_time",
+    """SELECT event_id, last_value(CASE WHEN event_id % 5 = 0 THEN value END IGNORE NULLS) OVER w AS value
+    FROM events WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+)
+def q38b(spark, d):
+    """The whole table as one group, in the order of a time of microseconds."""
+    e = fx.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.col("value")).alias("value"), F.struct("ts", "event_id").alias("at"))
+    return treatment.ffill(e, ["value"], "at").drop("at")
 
 
 @query(

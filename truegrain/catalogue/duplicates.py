@@ -380,6 +380,18 @@ def k06(spark, d):
     return out.select("event_id", "user_id", "event_type", "previous_row", "gap_micros")
 
 
+@query(
+    "k06_temporal_burst",
+    """WITH e AS (SELECT event_id, event_id % 100 = 7 AS other, to_timestamp(1700000000 + (event_id % 97)) AS moment FROM events),
+    p AS (SELECT event_id, lag(event_id) OVER w AS previous_row, epoch_us(moment) - lag(epoch_us(moment)) OVER w AS gap_micros FROM e WINDOW w AS (PARTITION BY other ORDER BY moment, event_id))
+    SELECT * FROM p WHERE gap_micros <= 1000000""",
+)
+def k06b(spark, d):
+    """One key with nearly all rows, within a few seconds."""
+    e = fx.table(spark, d, "events").select("event_id", (F.col("event_id") % 100 == 7).alias("other"), F.timestamp_seconds(F.lit(1700000000) + F.col("event_id") % 97).alias("at"))
+    return keys.temporal_duplicates(e, ["other"], "at", 1, "event_id").select("event_id", "previous_row", "gap_micros")
+
+
 @query(
     "k07_hierarchical_duplicates",
     """WITH p AS (SELECT l_partkey AS child, l_suppkey AS parent, count(*) AS n FROM lineitem GROUP BY 1, 2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from truegrain.functions.session import materialised, shuffle_width
@@ -48,3 +48,27 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, st
     both = inner.join(carried, on, "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     return both.select(*df.columns, *[(zero(name) + zero(f"_{name}")).alias(name) for name in sums])
+
+
+def inside(keys: list[str], order: list[str]) -> WindowSpec:
+    """The rows of a key within a segment, in order."""
+    return Window.partitionBy(SEGMENT, *keys).orderBy(*[F.col(c).asc_nulls_first() for c in [*order, TIE]])
+
+
+def with_carried(cut: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """`cut`, a segmented table, with, for each name, the last value that isn't null in the key's earlier segments.
+
+    A segment tells one row per key, and the carry runs over these, at most one per segment for a key.
+    """
+    last = F.struct(*order, TIE)
+    parts = cut.groupBy(SEGMENT, *keys).agg(*[F.max_by(v, F.when(v.isNotNull(), last)).alias(name) for name, v in values.items()])
+    before = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    told = parts.select(
+        F.col(SEGMENT).alias("_segment_of"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        *[F.last(name, ignorenulls=True).over(before).alias(name) for name in values],
+    )
+    told = materialised(told.filter(" or ".join(f"`{name}` is not null" for name in values)))
+    on = F.col(SEGMENT) == F.col("_segment_of")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return cut.join(told, on, "left").drop("_segment_of", *[f"_k{i}" for i in range(len(keys))])

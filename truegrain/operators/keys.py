@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from truegrain.functions import scan
 from truegrain.functions.hashing import canonical, canonical_columns, cell_hashes
 from truegrain.functions.missing import any_of, missing_tests, ref
 from truegrain.functions.session import materialised
@@ -216,34 +217,32 @@ def key_conflicts(
 
 
 def temporal_duplicates(
-    df: DataFrame, key: Sequence[str], ts: str, window_seconds: int, order: str
+    df: DataFrame, key: Sequence[str], ts: str, window_seconds: int, order: str, width: int | None = None
 ) -> DataFrame:
     """Rows that follow another row of the same key within the window; adds the row before and the gap.
 
-    Time is cut into slots at least as long as the window, and rows near the end of a slot are
-    copied into the next, where they only serve as predecessor. A key that holds a large share
-    of the table is thereby spread over its slots.
+    Rows are cut into segments by number in the order of key and time, so a key that holds a large share
+    of the table, even within a moment, is spread evenly; the last row of a key's earlier segments
+    serves the first of a segment as predecessor. Rows without a time follow none and are left out.
     """
     micros = window_seconds * 1_000_000
     if micros <= 0:
         raise ValueError("the window must be longer than zero seconds")
-    slot = max(micros, 3_600_000_000)
     kind = {f.name: f.dataType for f in df.schema.fields}[ts]
     if isinstance(kind, T.TimestampNTZType):
         t = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
     else:
         t = F.unix_micros(ref(ts).cast("timestamp"))
-    timed = df.filter(ref(ts).isNotNull()).select("*", t.alias("_t")).withColumn("_home", F.floor(F.col("_t") / slot).cast("bigint"))
-    near_end = F.pmod(F.col("_t"), F.lit(slot)) >= slot - micros
-    targets = F.when(near_end, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array(F.col("_home")))
-    spread = timed.select("*", F.explode(targets).alias("_slot"))
-    w = Window.partitionBy(*[ref(c) for c in key], "_slot").orderBy("_t", ref(order))
-    out = spread.select(
-        "*",
-        F.lag(ref(order)).over(w).alias("previous_row"),
-        (F.col("_t") - F.lag("_t").over(w)).alias("gap_micros"),
+    keys = [f"_g{i}" for i in range(len(key))]
+    timed = df.filter(ref(ts).isNotNull()).withColumns({k: ref(c) for k, c in zip(keys, key)} | {"_t": t, "_o": ref(order)})
+    cut = scan.segmented(timed, keys, ["_t", "_o"], width)
+    carried = scan.with_carried(cut, keys, ["_t", "_o"], {"_last": F.struct("_t", "_o")})
+    w = scan.inside(keys, ["_t", "_o"])
+    before = F.coalesce(F.lag(F.struct("_t", "_o")).over(w), F.col("_last"))
+    out = carried.withColumn("_before", before).select(
+        *[ref(c) for c in df.columns], F.col("_before._o").alias("previous_row"), (F.col("_t") - F.col("_before._t")).alias("gap_micros")
     )
-    return out.filter((F.col("_slot") == F.col("_home")) & (F.col("gap_micros") <= micros)).drop("_t", "_home", "_slot")
+    return out.filter(F.col("gap_micros") <= micros)
 
 
 def hierarchical_duplicates(df: DataFrame, parent: str, child: str) -> DataFrame:

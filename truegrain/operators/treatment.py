@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from truegrain.functions import bands
+from truegrain.functions import scan
 from truegrain.functions.missing import all_of, missing_tests, ref
 from truegrain.functions.quantiles import exact_quantiles
 from truegrain.operators.profile import (
@@ -231,39 +232,23 @@ def ffill(
     cols: Sequence[str],
     order: str,
     partition: Sequence[str] = (),
-    stretch: int = 1_000_000,
     sentinels: Iterable[str] = (),
+    width: int | None = None,
 ) -> DataFrame:
-    """Carry the last present value forward along a whole-number order column.
+    """Carry the last present value forward along an order column of any sort.
 
-    The order axis is cut into stretches, so one huge group (or no grouping at all) is still
-    spread over many tasks: windows run inside a stretch, and the last present value of each
-    stretch, one row per group and stretch, is carried to the stretches after it.
+    The table is cut into segments by row count, so one huge group (or no grouping at all) is spread
+    evenly however its order values lie: windows run inside a segment, and the last present value of
+    a segment, one row per group and segment, is carried to the segments after it.
     """
     tests = missing_tests(df, list(cols), sentinels)
-    part = [ref(c) for c in partition]
-    clean = df.withColumn("_s", F.floor(ref(order) / stretch).cast("bigint"))
-    for c in cols:
-        clean = clean.withColumn(c, F.when(~tests[c], ref(c)))
-    inside = Window.partitionBy(*part, "_s").orderBy(ref(order)).rowsBetween(Window.unboundedPreceding, 0)
-    filled = clean
-    for c in cols:
-        filled = filled.withColumn(c, F.last(ref(c), ignorenulls=True).over(inside))
-    lasts = clean.groupBy(*part, "_s").agg(
-        *[F.max_by(ref(c), F.when(ref(c).isNotNull(), ref(order))).alias(f"_l{i}") for i, c in enumerate(cols)]
-    )
-    before = Window.partitionBy(*part).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select(
-        *[p.alias(f"_p{i}") for i, p in enumerate(part)],
-        F.col("_s").alias("_cs"),
-        *[F.last(f"_l{i}", ignorenulls=True).over(before).alias(f"_l{i}") for i in range(len(cols))],
-    )
-    on = F.col("_s") == F.col("_cs")
-    for i, p in enumerate(part):
-        on = on & p.eqNullSafe(F.col(f"_p{i}"))
-    joined = filled.join(carried, on, "left")
-    new = {c: F.coalesce(ref(c), F.col(f"_l{i}")).alias(c) for i, c in enumerate(cols)}
-    return joined.select(*[new.get(c, ref(c)) for c in df.columns])
+    keys = [f"_g{i}" for i in range(len(partition))]
+    clean = df.withColumns({k: ref(c) for k, c in zip(keys, partition)} | {"_o": ref(order)} | {c: F.when(~tests[c], ref(c)) for c in cols})
+    cut = scan.segmented(clean, keys, ["_o"], width)
+    carried = scan.with_carried(cut, keys, ["_o"], {f"_l{i}": ref(c) for i, c in enumerate(cols)})
+    w = scan.inside(keys, ["_o"]).rowsBetween(Window.unboundedPreceding, 0)
+    new = {c: F.coalesce(F.last(ref(c), ignorenulls=True).over(w), F.col(f"_l{i}")).alias(c) for i, c in enumerate(cols)}
+    return carried.select(*[new.get(c, ref(c)) for c in df.columns])
 
 
 def drop_sparse_columns(df: DataFrame, threshold: float = SPARSE_RATIO, **kw) -> DataFrame:
