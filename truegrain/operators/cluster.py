@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from truegrain.functions.session import checkpointed
+from truegrain.functions.session import checkpointed, materialised
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,12 +38,13 @@ def components(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     Alternates large-star and small-star steps (Kiveris et al., 2014) until only stars are left,
     in a number of rounds that grows with the square of the logarithm of the size. Each step is a
     minimum per node and an equi-join, so a node with very many neighbours is never gathered in
-    one place. The state is checkpointed in shared storage each round.
+    one place. The state is written to shared storage each round, and read in few tasks however
+    many parts the shuffles had.
     """
     edges = pairs.select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent")).filter("child <> parent").distinct()
-    edges = checkpointed(edges)
+    edges = materialised(edges)
     while not _is_star_forest(edges):
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = materialised(_small_star(_large_star(edges)))
     roots = edges.select(F.col("parent").alias("member"), F.col("parent").alias("cluster_id")).distinct()
     return edges.select(F.col("child").alias("member"), F.col("parent").alias("cluster_id")).unionByName(roots)
 
