@@ -272,3 +272,12 @@ def test_jaccard_candidates_lose_nothing(spark, threshold):
                 want.add((j, i))
     assert {(r.id_a, r.id_b) for r in jaccard_pairs(sets, threshold).collect()} == want
     assert want <= {(r.id_a, r.id_b) for r in jaccard_candidates(sets, threshold).collect()}
+
+
+@pytest.mark.parametrize("name", ["m07_method_overlap", "d33_composite_score", "d36_similar_pairs", "d37_similarity_bands", "d39_match_actions", "d45_fuzzy_summary"])
+def test_no_side_that_grows_with_the_input_goes_through_the_driver(spark, sf, name):
+    """Files of repeated values are small enough for Spark to broadcast millions of rows."""
+    from truegrain.catalogue import load
+
+    plan = load().QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from truegrain.functions.hashing import canonical_columns, cell_hashes, group_key, row_digest, row_json
 from truegrain.functions.missing import missing_count, missing_tests, ref
+from truegrain.functions.session import by_shuffle
 from truegrain.operators.rows import STRETCH, section_of, with_previous
 
 KEEP = ("first", "last", "latest", "best")
@@ -78,7 +79,7 @@ def _with_repeats(df: DataFrame, cols: Sequence[str] | None) -> DataFrame:
     on = F.lit(True)
     for n in names:
         on = on & F.col(n).eqNullSafe(F.col(f"_g{n}"))
-    return keyed.join(groups, on, "left").drop(*names, *[f"_g{n}" for n in names])
+    return keyed.join(by_shuffle(groups), on, "left").drop(*names, *[f"_g{n}" for n in names])
 
 
 def with_duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

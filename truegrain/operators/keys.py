@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from truegrain.functions import scan
 from truegrain.functions.hashing import canonical, canonical_columns, cell_hashes
 from truegrain.functions.missing import any_of, missing_tests, ref
-from truegrain.functions.session import materialised
+from truegrain.functions.session import by_shuffle, materialised
 
 KEY_HINT = re.compile(r"(^|_)(id|key|code|number|no|num|sku|uuid)$|(id|key|code|number)$", re.I)
 
@@ -331,4 +331,5 @@ def split_by_key(df: DataFrame, key: Sequence[str], sentinels: Iterable[str] = (
     on = F.lit(True)
     for i, c in enumerate(key):
         on = on & (canonical(df[c], types[c]) == F.col(f"_b{i}"))
+    bad = by_shuffle(bad)
     return df.join(bad, on, "left_anti"), df.join(bad, on, "left_semi")

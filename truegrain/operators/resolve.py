@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from truegrain.functions import bands
 from truegrain.functions.hashing import row_digest
 from truegrain.functions.missing import missing_tests, ref
+from truegrain.functions.session import by_shuffle
 from truegrain.operators.duplicates import keep_order
 from truegrain.operators.profile import parses_as
 
@@ -26,13 +27,13 @@ def exact_groups(df: DataFrame, order: str, cols: Sequence[str] | None = None, n
     names = list(cols) if cols else [c for c in df.columns if c != order]
     keyed = df.withColumn("_h", row_digest(df, names))
     heads = keyed.groupBy("_h").agg(F.min(ref(order)).alias(name), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    return keyed.join(heads, "_h", "left").select(*[ref(c) for c in df.columns], name)
+    return keyed.join(by_shuffle(heads), "_h", "left").select(*[ref(c) for c in df.columns], name)
 
 
 def cluster_groups(df: DataFrame, id: str, clusters: DataFrame, name: str = GROUP) -> DataFrame:
     """Adds the group found by clustering (`member`, `cluster_id`)."""
     c = clusters.select(F.col("member").alias("_m"), F.col("cluster_id").alias(name))
-    return df.join(c, ref(id) == F.col("_m"), "left").drop("_m")
+    return df.join(by_shuffle(c), ref(id) == F.col("_m"), "left").drop("_m")
 
 
 def _ranked(df: DataFrame, keep: str, order: str, ts: str | None, group: str) -> DataFrame:
@@ -54,7 +55,7 @@ def keepers(df: DataFrame, order: str, keep: str = "first", ts: str | None = Non
 def resolve_flag(df: DataFrame, order: str, keep: str = "first", ts: str | None = None, group: str = GROUP) -> DataFrame:
     """Adds is_kept; every row stays. The kept rows are found first, one per group, and joined back."""
     k = keepers(df, order, keep, ts, group)
-    return df.join(k, ref(group) == F.col("_group"), "left").withColumn(
+    return df.join(by_shuffle(k), ref(group) == F.col("_group"), "left").withColumn(
         "is_kept", ref(group).isNull() | (ref(order) == F.col("_kept"))
     ).drop("_group", "_kept")
 
@@ -114,7 +115,7 @@ def resolve_merge(
         # Counted per group and value first; equal counts go to the larger value.
         votes = grouped.filter(~tests[c]).groupBy(ref(group).alias(group), ref(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
         winner = votes.groupBy(group).agg(F.max(F.struct("_n", "_v")).alias("_m")).select(group, F.col("_m._v").alias(c))
-        merged = merged.join(winner, group, "left")
+        merged = merged.join(by_shuffle(winner), group, "left")
     return df.filter(ref(group).isNull()).unionByName(merged.select(*[ref(c) for c in df.columns]))
 
 
