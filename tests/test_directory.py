@@ -71,6 +71,19 @@ def test_first_lines_read_little(spark, tmp_path):
     assert got == {"long.json": '{"a": 1}', "short.json": "[1]"}
 
 
+def test_first_lines_of_many_files_take_few_tasks(spark, tmp_path):
+    for k in range(60):
+        (tmp_path / f"f{k:02}.json").write_text("\n" * (k % 3) + f'[{{"a": {k}}},\n{{"a": 0}}]\n' if k % 5 else "\n \n")
+    (tmp_path / "long.json").write_text('{"a": "first"}\n' + '{"a": "later", "b": "' + "x" * 1000 + '"}\n' * 40000)
+    tracker, group = spark.sparkContext.statusTracker(), "first lines"
+    spark.sparkContext.setJobGroup(group, group)
+    got = {r.file.rsplit("/", 1)[1]: r.line for r in first_lines(spark, str(tmp_path)).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {**{f"f{k:02}.json": f'[{{"a": {k}}},' for k in range(60) if k % 5}, "long.json": '{"a": "first"}'}
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) < 30
+
+
 def test_ledger_is_appended_and_compacted(spark, folder, tmp_path):
     results = run_directory(spark, str(folder), str(tmp_path / "out"))
     path = str(tmp_path / "ledger")
