@@ -86,6 +86,13 @@ def test_labels(spark):
     assert sum(x.in_target for x in r.labelled(docs, labels, most=1).collect()) <= 1
 
 
+def test_every_label_counts(spark, sf):
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    plan = r.labelled(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not any(x in plan for x in ("Broadcast", "Limit", "TakeOrdered"))
+    assert not hasattr(r, "TRUSTED")
+
+
 def test_native_plan(spark, sf):
     docs = read(spark, sf, "documents")
     plan = r.judged(docs, r.labelled(docs, read(spark, sf, "labels")))._jdf.queryExecution().executedPlan().toString()

@@ -14,12 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from truegrain.functions.session import materialised
+from truegrain.functions.session import by_shuffle, materialised
 
 #: Buckets of n-grams, and the mean log ratio (in millionths) below which a text is rejected.
 BUCKETS, THRESHOLD = 1 << 18, -300_000
-#: Labelled documents that the target is fitted on, at most.
-TRUSTED = 1 << 19
 #: Words of a text at least, and percent of its words that may stand in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Words in a window, and the factor of the first word in the number of a pair.
@@ -104,15 +102,16 @@ def ratios(corpus: DataFrame, n: int = BUCKETS) -> DataFrame:
     return counts.select("bucket", F.when(none, F.lit(0).cast("long")).otherwise(ratio).alias("ratio"))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
     """text, in_raw, in_target: all documents are raw; target is what every label calls good (quality 1) and not toxic.
 
-    The target is fitted on at most `most` trusted ids, those of the smallest hashes, so that they can be
-    broadcast at any size of the corpus and no text is shuffled to meet its label.
+    The target is fitted on every trusted id; `most`, if a caller gives it, leaves that many of the smallest
+    hashes. Texts are shuffled to meet their labels, whose number grows with them.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0").select(F.col("doc_id").alias("good"))
-    good = materialised(good.orderBy(F.xxhash64("good"), "good").limit(most))
-    both = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("good"), "left")
+    if most is not None:
+        good = good.orderBy(F.xxhash64("good"), "good").limit(most)
+    both = docs.select("doc_id", "text").join(by_shuffle(good), F.col("doc_id") == F.col("good"), "left")
     return both.select("text", F.lit(True).alias("in_raw"), F.col("good").isNotNull().alias("in_target"))
 
 
