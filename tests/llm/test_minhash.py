@@ -124,3 +124,14 @@ def test_chain_within_one_bucket(spark):
     name = {bytes(r.id): r.doc_id for r in firsts.collect()}
     got = {tuple(sorted((name[bytes(r.id_a)], name[bytes(r.id_b)]))) for r in m.candidate_links(firsts, docs).collect()}
     assert got == {(i, i + 1) for i in range(13)}
+
+
+def test_near_texts_among_unlike_ones_of_a_bucket(spark):
+    """One bucket of unlike texts, in which two near ones are never heads of a round that ties something."""
+    texts = [" ".join(f"t{i}w{k}" for k in range(96)) for i in range(60)]
+    texts[31] = texts[12] + " more"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    firsts = docs.select("doc_id", F.unhex(F.md5("text")).alias("id"), F.lit(1).alias("n"), F.lit(92).cast("long").alias("size"), F.expr("array(1L, 2L)").alias("bands"))
+    name = {bytes(r.id): r.doc_id for r in firsts.collect()}
+    got = [sorted((name[bytes(r.id_a)], name[bytes(r.id_b)])) for r in m.candidate_links(firsts, docs).collect()]
+    assert got == [[12, 31]]

@@ -238,6 +238,34 @@ def test_bucket_links_find_groups_behind_an_unlike_head(spark):
     assert got == {i: g[0] for g in groups[1:] for i in g}
 
 
+def test_bucket_links_find_a_pair_that_no_head_meets(spark):
+    """Sixty unlike members and two alike ones in the middle: the first heads tie nothing."""
+    from truegrain.operators.pairs import bucket_links
+
+    members, verify, _ = _buckets(spark, [[i] for i in range(62) if i not in (7, 23)] + [[7, 23]])
+    assert [(r.id_a, r.id_b) for r in bucket_links(members, verify, 0.8).collect()] == [(7, 23)]
+
+
+def test_bucket_links_compare_the_rest_by_rare_tokens(spark):
+    """Sets with a common half, tied to nothing but their own copies: all links, with few pairs."""
+    from pyspark.sql import functions as F
+
+    from truegrain.operators.pairs import bucket_links, verify_jaccard
+
+    rows = [(i, [*range(20), *range(100 * (i // 2 + 1), 100 * (i // 2 + 1) + 20), 10**6 + i]) for i in range(80)]
+    sets = spark.createDataFrame(rows, "id long, tokens array<long>")
+    members = sets.select(F.lit(1).alias("bucket"), "id", F.size("tokens").alias("size"))
+    seen = []
+
+    def verify(pairs):
+        seen.append(pairs.count())
+        return verify_jaccard(pairs, sets, 0.0)
+
+    links = bucket_links(members, verify, 0.8, lambda ids: sets.join(ids, "id"))
+    assert {(r.id_a, r.id_b) for r in links.collect()} == {(i, i + 1) for i in range(0, 80, 2)}
+    assert sum(seen) <= 2 * 80
+
+
 def test_set_links_give_the_groups_of_all_pairs(spark):
     import random
 
@@ -255,6 +283,29 @@ def test_set_links_give_the_groups_of_all_pairs(spark):
     assert group(set_links(sets, 0.5)) == group(jaccard_pairs(sets, 0.5))
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_jaccard_candidates_between_groups(spark, threshold):
+    import random
+
+    from truegrain.operators.pairs import jaccard_candidates, verify_jaccard
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(120):
+        base = rows[rng.randrange(i)][2] if i and rng.random() < 0.6 else rng.sample(range(60), rng.randrange(4, 30))
+        rows.append((i, i % 7 if i < 60 else i, sorted({*base[rng.randrange(3) :], rng.randrange(90)})))
+    sets = spark.createDataFrame(rows, "id long, own long, tokens array<long>")
+    want = set()
+    for i, g, a in rows:
+        for j, h, b in rows[:i]:
+            both = len(set(a) & set(b))
+            if g != h and both / (len(a) + len(b) - both) >= threshold:
+                want.add((j, i))
+    pairs = jaccard_candidates(sets, threshold, "own")
+    assert all(rows[r.id_a][1] != rows[r.id_b][1] for r in pairs.collect())
+    assert {(r.id_a, r.id_b) for r in verify_jaccard(pairs, sets, threshold).collect()} == want
+
+
 @pytest.mark.parametrize("threshold", [0.4, 0.5, 0.8, 1.0])
 def test_jaccard_candidates_lose_nothing(spark, threshold):
     import random

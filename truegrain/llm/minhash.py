@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from truegrain.functions.session import materialised
+from truegrain.functions.session import by_shuffle, materialised
 from truegrain.llm.common import LOWER, mix, pieces, salted, shingles, text_bytes, uniform, word_hashes, words
 from truegrain.operators.cluster import components
 from truegrain.operators.pairs import bucket_links
@@ -168,6 +168,12 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [_unpack(x.as_buffer()).view(np.int64) for x in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.list_(pa.int64()))], ["id", "own", "tokens"])
+
+
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
@@ -206,14 +212,19 @@ def candidate_links(firsts: DataFrame, docs: DataFrame, similar: float = SIMILAR
 
     `firsts` has a row per distinct text with words: id, doc_id, n, size, bands. A bucket is all texts with
     one key in one band. `bucket_links` compares its members with heads and contracts groups between
-    rounds, so that neither a family of copies nor a bucket of unlike texts is paired up.
+    rounds, so that no family of copies is paired up. Texts in buckets that hold several groups in the end are
+    joined by their rarest shingles, which finds every link that is left between the groups.
     """
     members = firsts.select(F.posexplode("bands").alias("band", "key"), "id", "size")
     members = members.select(F.xxhash64("band", "key").alias("bucket"), "id", "size")
     n = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = materialised(members.join(n, "bucket"))
     sets = materialised(shingle_sets(docs, firsts.select("id", "doc_id", "n").join(members.select("id").distinct(), "id", "left_semi")))
-    return bucket_links(members, lambda pairs: verified(pairs, sets), similar, heads=8, patience=1)
+
+    def whole(ids: DataFrame) -> DataFrame:
+        return sets.join(by_shuffle(ids), "id").select("id", "own", "set").mapInArrow(_tokens, "id binary, own binary, tokens array<long>")
+
+    return bucket_links(members, lambda pairs: verified(pairs, sets), similar, whole)
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
