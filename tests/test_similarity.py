@@ -52,6 +52,38 @@ def test_edit_pairs_null_block_and_sides(spark):
         pairs.edit_pairs(df, "id", "w", 0.4)
 
 
+@pytest.mark.parametrize("crowd", [0, 40, 512])
+def test_edit_pairs_of_small_and_large_blocks(spark, monkeypatch, crowd):
+    """Blocks on either side of the bound give the same pairs; texts, ids and rows come more than once, blocks and ids may be null."""
+    monkeypatch.setattr(pairs, "CROWD", crowd, raising=False)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(4, 9))) for _ in range(25)]
+    data = [(i % 110, rng.choice(words), "big" if i < 90 else rng.choice(["x", None]), rng.choice("lr")) for i in range(130)]
+    data += [(None, words[0], "big", "l"), *data[:3]]
+    df = spark.createDataFrame(data, "id long, w string, b string, s string")
+    for side in (None, "s"):
+        want = sorted(
+            (p[0], q[0])
+            for p in data
+            for q in data
+            if None not in (p[0], q[0]) and p[0] < q[0] and p[2] == q[2] and (not side or p[3] != q[3]) and sim(p[1], q[1]) >= 0.7
+        )
+        got = pairs.edit_pairs(df, "id", "w", 0.7, ["b"], side).collect()
+        assert sorted((r.id_a, r.id_b) for r in got) == want
+
+
+def test_small_blocks_shuffle_a_record_once(spark, monkeypatch):
+    """No keys of pieces are made where all blocks are small: a few rows are shuffled for each record."""
+    rows = [(i, f"{'abcdefghij'[i % 10]}some longer name {i % 7}", i // 8) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, w string, b long")
+    out = pairs.edit_pairs(df, "id", "w", 0.6, ["b"])
+    assert out.count() > 0
+    plan = out.filter("id_a >= 0")
+    plan.collect()
+    tree = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Generate" not in tree
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
 def test_jaccard_pairs_lose_nothing(spark, threshold):
     rng = random.Random(11)
