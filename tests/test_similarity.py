@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import combinations
 
 import pytest
@@ -364,3 +365,13 @@ def test_no_side_that_grows_with_the_input_goes_through_the_driver(spark, sf, na
 
     plan = load().QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_groups_of_near_records_fetch_no_records(spark, sf):
+    from truegrain.catalogue import fuzzy
+
+    edges, links = fuzzy.near_edges(spark, sf, 0.8), fuzzy.near_links(spark, sf, 0.8)
+    assert links.columns == ["id_a", "id_b", "score"]
+    assert sorted(links.collect()) == sorted(edges.select("id_a", "id_b", "score").collect())
+    joins = [len(re.findall("Join", df._jdf.queryExecution().optimizedPlan().toString())) for df in (links, edges)]
+    assert joins[0] < joins[1]

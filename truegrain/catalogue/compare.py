@@ -283,7 +283,7 @@ def m06(spark, d):
 
 def part_hits(spark, d):
     near = fx.near_part(spark, d)
-    pairs = fz.near_edges(spark, d, 0.8)
+    pairs = fz.near_links(spark, d, 0.8)
     fuzzy = pairs.select(F.explode(F.array("id_a", "id_b")).alias("row_id")).distinct()
     exact = dup.with_duplicate_count(near, fz.BLOCK + ["p_name"]).filter("duplicate_count > 1").select(F.col("p_partkey").alias("row_id"))
     key = keys.split_by_key(near, ["p_retailprice"])[1].select(F.col("p_partkey").alias("row_id"))
