@@ -375,3 +375,26 @@ def test_groups_of_near_records_fetch_no_records(spark, sf):
     assert sorted(links.collect()) == sorted(edges.select("id_a", "id_b", "score").collect())
     joins = [len(re.findall("Join", df._jdf.queryExecution().optimizedPlan().toString())) for df in (links, edges)]
     assert joins[0] < joins[1]
+
+
+def test_only_sets_with_enough_shared_tokens_are_kept(spark):
+    from truegrain.operators.pairs import alike_sets, jaccard_pairs, set_links, text_sets
+
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g x"), (3, "A b, c d e f g h"), (4, "own words of which none is anywhere else"), (None, "a b c d e f x x")]
+    rows += [(5, "own words of which no run is there"), (6, "own words of which no run is there"), (7, None), (8, "")]
+    sets = text_sets(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    alike = alike_sets(sets, 0.5)
+    # 4 and 5 share two runs of six, and the copies 5 and 6 are one set
+    assert sorted((r.id, r.n, len(r.tokens)) for r in alike.collect()) == [(1, 6, 5), (2, 6, 5)]
+    want = [(1, 2, 5 / 7)]
+    assert [tuple(r) for r in jaccard_pairs(alike, 0.5).collect()] == want
+    assert [tuple(r) for r in set_links(alike, 0.5).collect()] == want
+
+
+def test_a_token_is_shuffled_once_to_be_counted(spark):
+    from truegrain.operators.pairs import shared_sets
+
+    sets = spark.createDataFrame([(i, list(range(i, i + 8))) for i in range(6)], "id long, tokens array<long>")
+    plan = shared_sets(sets, 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Repartition") == 2
+    assert len(shared_sets(sets, 0.5).collect()) == 6
