@@ -398,3 +398,11 @@ def test_a_token_is_shuffled_once_to_be_counted(spark):
     plan = shared_sets(sets, 0.5)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Repartition") == 2
     assert len(shared_sets(sets, 0.5).collect()) == 6
+
+
+def test_a_row_that_is_there_twice_gives_its_pairs_twice(spark):
+    from truegrain.operators.pairs import as_often
+
+    found = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.75)], "id_a long, id_b long, similarity double")
+    sets = spark.createDataFrame([(1, b"x"), (2, b"y"), (2, b"y"), (3, b"z")], "id long, set_key binary")
+    assert sorted(map(tuple, as_often(found, sets).collect())) == [(1, 2, 0.5)] * 2 + [(2, 3, 0.75)] * 2
