@@ -142,3 +142,19 @@ def test_documents(spark, sf):
     docs = read(spark, sf, "documents")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert order(align.aligned(docs, A, B).collect()) == order(plain(rows))
+
+
+def test_few_tiles_are_held_at_once(spark, monkeypatch):
+    """Many tiles in one task: a row group has few of them, and their counts are not gathered as lists."""
+    import pyarrow.parquet as pq
+
+    written, write = [], align.materialised
+    monkeypatch.setattr(align, "materialised", lambda df, **options: written.append(write(df, **options)) or written[-1])
+    rows = [(i, f"text number {i} of some words") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = align.aligned(df, A, B, tile=1)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert {r.doc_id: r.groups for r in got.collect()} == {i: r["groups"] for i, r in ((r.doc_id, r) for r in align.aligned(df, A, B).collect())}
+    parts = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in written[0].inputFiles()]
+    assert sum(p.num_rows for p in parts) == 50
+    assert all(p.row_group(k).num_rows <= align.GROUP for p in parts for k in range(p.num_row_groups))

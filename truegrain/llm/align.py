@@ -28,6 +28,8 @@ from truegrain.llm.common import pieces, text_bytes
 
 #: Bytes of text in a tile, and of a stretch of a long text that is encoded at once.
 TILE, STRETCH = 1 << 20, 1 << 18
+#: Tiles in a row group of the written table.
+GROUP = 8
 #: A space between letters: neither tokenizer has a token that crosses into it from the left.
 _CUT = regex.compile(r"(?<=[a-z])(?= [a-z])")
 _BYTE = regex.compile(r"<0x([0-9A-F]{2})>")
@@ -189,20 +191,17 @@ _TILE = ["tile", "ids", "n_a", "n_b", "n_groups", "n_links", "sha", "groups", "p
 _TILE_KINDS = ["long", "array<long>", "array<long>", "array<long>", "array<long>", "array<long>", "array<string>", "array<string>", "array<long>", "array<int>", "array<int>", "array<int>", "array<int>"]
 
 
-def _answered(group: pa.Table) -> pa.Table:
+def _answered(group: pa.Table, known: pa.Table) -> pa.Table:
     """The documents of one tile, with their links weighed by the counts of the tile's pairs."""
     out = []
+    place, n_held, is_best = (known.column(c).to_numpy() for c in ("place", "n", "best"))
     for b in group.combine_chunks().to_batches():
         for k in range(b.num_rows):
             cell = lambda c, k=k, b=b: b.column(c)[k].values.to_numpy(zero_copy_only=False)
             ids = b.column("ids")[k].values
             stops, which, times = cell("stops"), cell("which"), cell("times").astype(np.int64)
-            known = b.column("known")[k].values
-            place = known.field("place").to_numpy(zero_copy_only=False) if known is not None else np.zeros(0, np.int64)
             count, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-            if len(place):
-                count[place] = known.field("n").to_numpy(zero_copy_only=False)
-                best[place] = known.field("best").to_numpy(zero_copy_only=False)
+            count[place], best[place] = n_held, is_best
             total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[stops])
             n = len(stops) - 1
             groups = b.column("groups")[k].values if len(b.column("groups")[k].values) else pa.nulls(n, pa.string())
@@ -234,10 +233,12 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     sc.addFile(path_a), sc.addFile(path_b)
     run = _tiled(path_a.rsplit("/", 1)[-1], path_b.rsplit("/", 1)[-1], tile, with_groups)
     schema = ", ".join(f"{n} {k}" for n, k in zip(_TILE, _TILE_KINDS))
-    tiles = materialised(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema))
+    # Spark reads a row group of lists at once, so a group holds few tiles
+    tiles = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
+    tiles = materialised(tiles, **{"parquet.block.row.count.limit": GROUP})
     asked = materialised(tiles.select("tile", F.posexplode("pair").alias("place", "pair")))
-    answer = asked.join(pair_counts(tiles), "pair").groupBy("tile").agg(F.collect_list(F.struct("place", "n", "best")).alias("known"))
-    both = tiles.drop("pair", "held").join(answer.hint("merge"), "tile", "left")
+    answer = asked.join(pair_counts(tiles), "pair").select("tile", "place", "n", "best")
     out = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string"
-    found = both.groupBy("tile").applyInArrow(_answered, out)
+    # the counts go to their tile as rows that are sorted on disk, not gathered as lists of many tiles at once
+    found = tiles.drop("pair", "held").groupBy("tile").cogroup(answer.groupBy("tile")).applyInArrow(_answered, out)
     return found.withColumnRenamed("doc_id", id_col) if with_groups else found.drop("groups").withColumnRenamed("doc_id", id_col)
