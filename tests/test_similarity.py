@@ -406,3 +406,18 @@ def test_a_row_that_is_there_twice_gives_its_pairs_twice(spark):
     found = spark.createDataFrame([(1, 2, 0.5), (2, 3, 0.75)], "id_a long, id_b long, similarity double")
     sets = spark.createDataFrame([(1, b"x"), (2, b"y"), (2, b"y"), (3, b"z")], "id long, set_key binary")
     assert sorted(map(tuple, as_often(found, sets).collect())) == [(1, 2, 0.5)] * 2 + [(2, 3, 0.75)] * 2
+
+
+def test_tokens_are_dealt_by_their_number(spark, monkeypatch):
+    """More tokens than a task can sort in memory go to more partitions than are configured, with the same result."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(words[i : i + 60] + [f"own{i}"])) for i in range(0, 300, 5)]
+    sets = pairs.text_sets(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    want = sorted(pairs.alike_sets(sets, 0.5).collect())
+    assert pairs.shared_sets(sets.select("id", "tokens"), 0.5, partitions=9).rdd.getNumPartitions() == 9
+    asked = []
+    deal = pairs.dealt
+    monkeypatch.setattr(pairs, "dealt", lambda table, key, n: asked.append(n) or deal(table, key, n))
+    monkeypatch.setattr(pairs, "SORTED", 200)
+    assert len(want) == len(rows) and sorted(pairs.alike_sets(sets, 0.5).collect()) == want
+    assert min(asked) > int(spark.conf.get("spark.sql.shuffle.partitions"))
